@@ -1,0 +1,191 @@
+"""License scans, quality rules, personal data, main text, archives: against plain versions and edge cases."""
+
+import base64
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.llm import html, license, pii, quality, queries, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = "word soup with many parts and no end in sight at all " * 40_000
+    rows = [(1, None, "en", "a", 0, "x"), (2, "", None, None, None, None), (3, long, "en", "a", 1, "y"), (4, "same same", "xx", "a", 2, "z"), (4, "same same", "xx", "a", 2, "z"), (None, "no id here", "en", None, 3, "q"), (5, " \t\n\v\f\r ", "en", "a", 4, "w"), (6, "nbsp\xa0joined words \x1c here", "fr", "b", 5, "v")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_quality_counts(spark, sf, odd):
+    def plain(text):
+        text, w = text or "", words(text)
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines, seen, dup = [x for x in text.split("\n") if words(x)], set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+    docs = queries.table(spark, sf, "documents")
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    for r in queries.op10_quality_rules(spark, sf).collect():
+        assert tuple(r)[1:7] == plain(texts[r[0]]), r
+        assert not (r["kept"] and r["base_failed"])
+    with pytest.raises(ValueError):
+        quality.rate(odd, queries.vocabulary("piece_bpe_32k.model"), keep_columns=True)
+    got = quality.rate(odd, queries.vocabulary("piece_bpe_32k.model"), prefix="_q_", keep_columns=True).collect()
+    assert len(got) == 8
+    for r in got:
+        assert tuple(r[f"_q_{n}"] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == plain(r["text"])
+
+
+def test_quality_keeps_prose_and_rejects_noise(spark):
+    f = quality.Fertility(queries.vocabulary("piece_bpe_32k.model"))
+    bands = quality.Bands()
+    band = bands.by_lang["en"]
+    chars, byte, entropy, n = f.of("The quick brown fox jumps over the lazy dog while the river runs on. " * 3)
+    assert band.least_chars <= chars <= band.most_chars and byte <= band.most_bytes
+    chars, byte, _, _ = f.of("ⴰⴱⴳⴷⴹ " * 40)
+    assert byte > band.most_bytes
+    assert f.of("")[3] == 0
+    # pieces of a long text count as the whole does
+    text = "alpha beta gamma delta " * 200
+    whole = f.of(text)
+    assert list(quality.pieces(text, 100)) and "".join(quality.pieces(text, 100)) == text
+    assert whole[3] > 0
+
+
+def plain_pii(text):
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub(r"[^0-9]", "", m.group())) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+CASES = [
+    "mail a.b+c@x-y.co.uk, then x@y and @z.com, a@b.c@d.e q%_@-.- end",
+    "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.004 1.2.3. 9.9.9.9.",
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112 0000000000000000 12 34",
+    "call +1 (988) 555-2485 or +4420 7946 0958. +1 2 ++1 234 567 890 +12345678901234567",
+    "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, not GB82 WEST 1234 5698 7654 33",
+    "ssn 123-45-6789 here", "number 123-45-6789 here", "phone 555-123-4567 now", "serial 555-123-4567 now", "2001:db8::1 and 12:30:45",
+    "9" * 60_000, "1." * 20_000, "a" * 50_000, "+" * 30_000, "@" * 30_000, "é😀 a@b.cd",
+]
+
+
+def test_pii_base_spans_equal_the_plain_patterns(spark, sf):
+    for text in CASES:
+        if len(text) < 1000:
+            assert pii.base_spans(text) == plain_pii(text), text
+    texts = {r[0]: r[1] for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    for r in queries.op6_pii(spark, sf).collect():
+        base = plain_pii(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+
+
+def test_pii_checksums_context_and_redaction(spark, odd):
+    found = {t: [pii.KINDS[k] for _, k, _, _ in pii.spans(t, pii.Settings())[1]] for t in CASES}
+    assert found[CASES[4]] == ["iban", "iban"]
+    assert [found[CASES[i]] for i in range(5, 10)] == [["national_id"], [], ["local_phone"], [], ["ipv6"]]
+    assert pii.redact("write to me@home.org or +49 30 1234567", pii.Settings()) == "write to <EMAIL> or <PHONE>"
+    rows = pii.redacted(odd).collect()
+    assert len(rows) == 8 and sorted(odd.columns) == sorted(pii.redacted(odd).columns)
+    assert pii.find(odd).count() == 8
+
+
+def test_html(spark):
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div><article><header><h1>Title &amp; more</h1></header><p>First  para\n with <b>bold</b> text that goes on for a while so that it is long enough.<p>Short.<br>Line</p><script>var t='</p>';</script><div class='ad'>Buy now</div><ul><li>One item<li>Two item</ul><form><input><p>Subscribe</p></form></article><section id='comments'><p>Nice post, thank you very much for writing this long article about things.</p></section><aside>Related</aside><footer>&copy; me</footer></body></html>"
+    assert html.main_blocks(page) == ["Title & more", "First para with bold text that goes on for a while so that it is long enough.", "Short. Line", "One item", "Two item"]
+    plain = "<body><div><a href=1>Home</a> <a href=2>About</a></div><div id=content>" + "".join(f"<p>Paragraph {i} with a fair number of words in it to read.</p>" for i in range(6)) + "<p>End.</p></div><div class=footer>x</div>"
+    assert html.main_blocks(plain) == [f"Paragraph {i} with a fair number of words in it to read." for i in range(6)] + ["End."]
+    assert html.main_blocks(None) == html.main_blocks("") == html.main_blocks("<br><p></p>") == []
+    assert html.main_blocks("just text") == ["just text"]
+    assert len(html.main_blocks("<p>word " * 20_000)) == 20_000
+    assert html.main_blocks("<b>" * 5000 + "deep" + "</i>" * 5000) == ["deep"]
+
+
+def test_html_on_pages(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in queries.table(spark, sf, "pages").collect()}
+    for r in queries.op8_html_extraction(spark, sf).collect():
+        import html as h
+
+        body = pages[r["page_id"]].split("<article>")[1].split("</article>")[0]
+        blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", x.replace("<b>", "").replace("</b>", ""))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b)
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_warc_round_trip(spark, sf, tmp_path):
+    rows = [(1, "http://a/é b\r\nX: y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "u", None), (4, "u", ""), (5, "v", "ü" * 400_000), (None, "w", "<p>same</p>"), (1, "http://a", "<p>same</p>"), (None, "z", "only here")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1)).withColumn("sha1", F.lit("x"))
+    path = "file://" + str(tmp_path / "w")
+    warc.write(pages, path)
+    got = warc.read(spark, path).collect()
+    b32 = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = Counter([(1, 11, b32("<p>same</p>"), "response", None), (2, 11, b32("<p>same</p>"), "revisit", 1), (3, 0, b32(""), "response", None), (4, 0, b32(""), "revisit", 3), (5, 800_000, b32("ü" * 400_000), "response", None), (None, 11, b32("<p>same</p>"), "revisit", 1), (1, 11, b32("<p>same</p>"), "response", None), (None, 9, b32("only here"), "response", None)])
+    assert Counter(tuple(r)[:5] for r in got) == want and all(r["verified"] for r in got)
+    assert warc.read(spark, path).where("page_id = 1").first()["url"].startswith("http://a")
+    empty = "file://" + str(tmp_path / "e")
+    warc.write(pages.limit(0), empty)
+    assert warc.read(spark, empty).count() == 0
+    # every file is a run of gzip members that any reader opens
+    import gzip
+
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
+    assert data.count(b"WARC/1.1\r\n") == 8
+
+
+def test_warc_reader_refuses_broken_archives():
+    good = warc.gzip_member(warc.record(1, "u", b"payload", warc.sha1_32(b"payload"), None, False, "d"), 6)
+    assert [r.verify() for r in warc.read_records([good[:10], good[10:] + warc.EMPTY_MEMBER, good])] == [True, True]
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records([good[:-9]]))
+    raw = warc.record(1, "u", b"payload", warc.sha1_32(b"payload"), None, False, "d")
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records([warc.gzip_member(raw.replace(b"payload\r\n", b"pay\r\n"), 6)]))
+    assert [r.verify() for r in warc.read_records([warc.gzip_member(raw.replace(b"payload\r\n", b"PAYLOAD\r\n"), 6)])] == [False]
+
+
+def test_license_scan(spark, odd):
+    mit = license.TEMPLATES["MIT"]
+    edited = mit.replace("sublicense,", "sub-license,").replace("Software without", "Works of Software without")
+    rows = [(1, "Some words first.\nLicensed under the Apache License, Version 2.0.\nMore words."), (2, "intro " * 30 + edited + " outro" * 30), (3, "under the impression of the license of a driver"), (4, None), (5, ""), (6, "x\nLicensed under CC BY-NC 4.0.\ny\nLicensed under CC BY-NC 4.0.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(license.scan(docs).collect())
+    assert [(r["doc_id"], r["license"]) for r in got] == [(1, "Apache-2.0-notice"), (2, "MIT"), (6, "CC-BY-NC-4.0-notice"), (6, "CC-BY-NC-4.0-notice")]
+    texts = dict(rows)
+    assert texts[1][got[0]["start"] : got[0]["end"]] == license.TEMPLATES["Apache-2.0-notice"]
+    assert got[1]["coverage"] > 0.97 and texts[2][got[1]["start"] : got[1]["end"]] == edited
+    assert license.scan(odd).count() == 0 and license.scan(docs.limit(0)).count() == 0
+
+
+def test_license_scan_finds_every_planted_notice(spark, sf):
+    texts = {r[0]: r[1] for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    found = {(r["doc_id"], r["license"]) for r in queries.op1_license_scan(spark, sf).collect()}
+    for name, text in license.TEMPLATES.items():
+        for i, t in texts.items():
+            if text in t:
+                assert any(d == i for d, _ in found), (i, name)
