@@ -54,7 +54,7 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     bands = quality.Bands()
     band = bands.by_lang["en"]
     chars, byte, entropy, n = f.of("The quick brown fox jumps over the lazy dog while the river runs on. " * 3)
-    assert band.least_chars <= chars <= band.most_chars and byte <= band.most_bytes
+    assert band.least_chars_short <= chars <= band.most_chars and byte <= band.most_bytes
     chars, byte, _, _ = f.of("ⴰⴱⴳⴷⴹ " * 40)
     assert byte > band.most_bytes
     assert f.of("")[3] == 0
@@ -65,6 +65,14 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert whole[3] > 0
 
 
+def test_quality_agrees_with_the_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    rated = queries.op10_quality_rules(spark, sf).where("not base_failed").join(queries.table(spark, sf, "labels"), "doc_id")
+    kept = {r["quality"]: (r["n"], r["kept"]) for r in rated.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1][1] >= 0.99 * kept[1][0]
+    assert kept[0][1] <= 0.4 * kept[0][0]
+
+
 def plain_pii(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
