@@ -5,10 +5,13 @@ from either are the table keys. That is as selective as m * m bands of 2k rows,
 in place of 2m²k. Documents with equal shingle sets are one class and enter the tables once.
 
 Links come from the tables in two steps, so that no group of near copies is spelled out in pairs:
-each class in a bucket is first compared with the bucket's smallest class only; then, in buckets
-that still hold more than one component, classes of different components are compared, all of
-them. Every comparison is on full shingle sets. What is left to chance is only whether a pair at
-the threshold shares a bucket: it fails with probability 2 (1 - t^k)^m at most.
+each class in a bucket is first compared with the bucket's smallest class only. Then the classes in
+buckets that still hold more than one component are compared across components. A group of copies
+too far apart to link would make pairs as the square of its size here, so an exact prefix filter
+picks the pairs: sets that reach the threshold share one of the few shingles that come first in an
+order of rising frequency, and copies that are far apart put their own edits first. Every
+comparison is on full shingle sets. What is left to chance is only whether a pair at the threshold
+shares a bucket: it fails with probability 2 (1 - t^k)^m at most.
 
 A text's set: its distinct windows of five words, hashed to 64 bits; with fewer words, the whole
 sequence. Nulls and texts without words have empty sets and link with nothing. Rows with a null id
@@ -143,6 +146,85 @@ def sets_of(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node binary, shingles binary")
 
 
+# --- the prefix filter -----------------------------------------------------------------------------
+
+SLOTS, CHUNKS = 1 << 18, 64  # a fixed-size sketch of how often shingles occur; any order is exact
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall in each of SLOTS slots, over all sets: one array of fixed size."""
+    width = SLOTS // CHUNKS
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                total += np.bincount((np.frombuffer(x.as_buffer(), "<u8") & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(CHUNKS)], pa.binary())], names=["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in table.column("counts"))
+        return pa.table([pa.array([table.column("chunk")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+    parts = sets.select("shingles").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # CHUNKS rows
+    out = np.zeros(SLOTS, np.int64)
+    for r in parts:
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
+    return out
+
+
+def size_class(n: int) -> int:
+    """Sizes in steps of about 2 %."""
+    return int(np.floor(np.log(n) / np.log(1.02) + 1e-9))
+
+
+def overlap(n: int, m: int, percent: int) -> int:
+    """Least intersection of sets of n and m that link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def prefixes(n: int, percent: int) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+    """(class, length) as the smaller set of a pair, and for each class of smaller sets as the larger one."""
+    small = (size_class(n), n - overlap(n, n, percent) + 1)
+    large, lo = [], -(-percent * n // 100)
+    while lo <= n:
+        c = size_class(lo)
+        large.append((c, n - overlap(n, lo, percent) + 1))
+        while lo <= n and size_class(lo) == c:
+            lo += 1
+    return small, large
+
+
+def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members(node, root, shingles) with different roots that share a prefix shingle."""
+    order = members.sparkSession.sparkContext.broadcast(frequencies(members))  # SLOTS numbers
+
+    def rows(batches):
+        known: dict[int, tuple] = {}
+        for big in batches:
+            for batch in small_batches([big], "shingles", 1 << 20):
+                out: list[list] = [[], [], [], [], [], []]
+                for node, root, blob in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles"), strict=True):
+                    x = np.frombuffer(blob.as_buffer(), "<u8")
+                    n = len(x)
+                    if n not in known:
+                        known[n] = prefixes(n, percent)
+                    small, large = known[n]
+                    longest = max(k for _, k in (small, *large))
+                    often = order.value[(x & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    first = x[np.lexsort((x, often))[:longest]].view(np.int64).tolist()
+                    for role, (c, k) in [(0, small), *[(1, y) for y in large]]:
+                        for column, values in zip(out, ([c] * k, first[:k], [role] * k, [node] * k, [root] * k, [n] * k), strict=True):
+                            column += values
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()], strict=True)], names=["c", "shingle", "role", "node", "root", "n"])
+
+    entries = materialise(members.select("node", "root", "shingles").mapInArrow(rows, "c int, shingle long, role int, node binary, root binary, n long"), "minhash_prefixes")
+    x = entries.where("role = 0").select("c", "shingle", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+    y = entries.where("role = 1").select("c", "shingle", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
+    found = x.join(y, ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & (F.col("nx") <= F.col("ny")) & may_link("nx", "ny", percent))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     s = settings or Settings()
@@ -167,10 +249,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     labelled = full.select("key", "node", "n").join(known.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     labelled = materialise(labelled, "minhash_labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    mixed = labelled.join(mixed, "key", "left_semi")
-    x = mixed.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    more = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_link("na", "nb", s.percent)).select("a", "b").distinct()
+    mixed = labelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    members = materialise(mixed.join(sets, "node"), "minhash_members")
+    more = filtered_pairs(members, s.percent)
     more = more.join(stars, ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, s.percent), "minhash_more")
     if not more.isEmpty():

@@ -189,6 +189,44 @@ def test_minhash_near_duplicates(spark, sf):
     assert root[4] == 3 and root[100] == 6
 
 
+def test_prefix_filter_loses_no_link():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 150)
+    sets = []
+    for i in range(120):
+        x = np.delete(base, rng.choice(150, rng.integers(0, 16), replace=False))
+        sets.append(np.unique(np.concatenate([x, rng.integers(0, 1 << 62, rng.integers(0, 16))]).astype(np.uint64)))
+    count = Counter(v for x in sets for v in x.tolist())
+    entries = {}
+    for i, x in enumerate(sets):
+        order = sorted(x.tolist(), key=lambda v: (count[v], v))
+        small, large = minhash.prefixes(len(x), 85)
+        entries[i] = {(small[0], v) for v in order[: small[1]]}, {(c, v) for c, k in large for v in order[:k]}
+    links = candidates = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i != j and len(x) <= len(y):
+                common = len(np.intersect1d(x, y))
+                linked = 100 * common >= 85 * (len(x) + len(y) - common)
+                shared = bool(entries[i][0] & entries[j][1])
+                assert shared or not linked
+                links, candidates = links + linked, candidates + shared
+    assert 0 < links < candidates < 120 * 119 / 2
+
+
+def test_minhash_far_copies_of_one_text(spark):
+    """Copies that link with the base, with each other through it, or with nothing."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        text = list(base)
+        for j in rng.choice(150, rng.integers(1, 7), replace=False):
+            text[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(text)))
+    check_minhash(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_minhash_odd_rows(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == 9 and sum(r["doc_id"] == 3 and r["kept"] for r in got) == 2
