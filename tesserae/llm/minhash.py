@@ -5,8 +5,8 @@ from either are the table keys. That is as selective as m * m bands of 2k rows,
 in place of 2m²k. Documents with equal shingle sets are one class and enter the tables once.
 
 Links come from the tables in two steps, so that no group of near copies is spelled out in pairs:
-each class in a bucket is first compared with the bucket's smallest class only. Then the classes in
-buckets that still hold more than one component are compared across components. A group of copies
+each class in a bucket is first compared with one class only, that which shares most buckets with
+others. Then the classes in buckets that still hold more than one component are compared across components. A group of copies
 too far apart to link would make pairs as the square of its size here, so an exact prefix filter
 picks the pairs: sets that reach the threshold share one of the few shingles that come first in an
 order of rising frequency, and copies that are far apart put their own edits first. Every
@@ -232,12 +232,15 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes"))
     classes = materialise(classes, "minhash_classes")
     tables = entries(classes, s.m)
-    shared = tables.groupBy("key").count().where("count > 1").select("key")
-    full = materialise(tables.join(shared, "key", "left_semi"), "minhash_buckets")
-
-    # first step: each class against its buckets' smallest
-    hubs = full.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
-    stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select("a", F.col("node").alias("b")).distinct()
+    shared = tables.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("c"))
+    full = materialise(tables.join(shared, "key").select("key", "node", "n", "c"), "minhash_buckets")
+
+    # first step: each class against the class of its bucket that meets most others over all buckets
+    # (the text that a group's copies were made from meets more of them than any copy does)
+    score = full.groupBy("node").agg(F.sum("c").alias("score")).withColumnRenamed("node", "_node")
+    ranked = full.join(score, F.col("node") == F.col("_node")).select("key", "node", "n", "score")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
+    stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     stars = materialise(stars, "minhash_stars")
     named = classes.select("node", "doc")
     in_buckets = full.select("node").distinct()
