@@ -148,6 +148,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
 # --- the prefix filter -----------------------------------------------------------------------------
 
+LISTED = 64  # prefixes up to this length ride along, so that a pair is made once; longer ones may make it more often
 SLOTS, CHUNKS = 1 << 18, 64  # a fixed-size sketch of how often shingles occur; any order is exact
 
 
@@ -214,16 +215,16 @@ def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
                     often = order.value[(x & np.uint64(SLOTS - 1)).astype(np.int64)]
                     first = x[np.lexsort((x, often))[:longest]].view(np.int64).tolist()
                     for role, (c, k) in [(0, small), *[(1, y) for y in large]]:
-                        for column, values in zip(out, ([c] * k, first[:k], [role] * k, [node] * k, [root] * k, [n] * k, [first[:k]] * k), strict=True):
+                        for column, values in zip(out, ([c] * k, first[:k], [role] * k, [node] * k, [root] * k, [n] * k, [first[:k] if k <= LISTED else None] * k), strict=True):
                             column += values
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())], strict=True)], names=["c", "shingle", "role", "node", "root", "n", "prefix"])
 
     entries = materialise(members.select("node", "root", "shingles").mapInArrow(rows, "c int, shingle long, role int, node binary, root binary, n long, prefix array<long>"), "minhash_prefixes")
     x = entries.where("role = 0").select("c", "shingle", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("prefix").alias("px"))
     y = entries.where("role = 1").select("c", "shingle", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("prefix").alias("py"))
-    # of two sets of one size either may be the smaller; a pair is made at one of its shared shingles only
+    # of two sets of one size either may be the smaller; a pair of short prefixes is made at one shared shingle only
     once = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    first = F.array_min(F.array_intersect("px", "py")) == F.col("shingle")
+    first = F.coalesce(F.array_min(F.array_intersect("px", "py")) == F.col("shingle"), F.lit(True))
     found = x.join(y, ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & once & may_link("nx", "ny", percent) & first)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
