@@ -41,6 +41,7 @@ class Context:
     keys: Callable = lambda name: None  # declared key columns of a relation, or None
     rules: dict[str, DataFrame] = field(default_factory=dict)
     most_epochs: int = 1000
+    sets: frozenset = frozenset()  # fixed rules whose rows are distinct
     steps: list = field(default_factory=list)  # for ::explain
 
 
@@ -231,7 +232,7 @@ def constant_rows(ctx: Context, rule: ir.ConstRule) -> DataFrame:
     width = len(rule.head) or (len(rows[0]) if rows else 0)
     if any(len(r) != width for r in rows):
         raise EngineError("parser::const", f"the rows of {rule.name} have different lengths")
-    return literal_rows(ctx.spark, rows, width)
+    return literal_rows(ctx.spark, list({repr(r): r for r in rows}.values()), width)  # a set
 
 
 def type_of(values: list) -> T.DataType:
@@ -288,7 +289,9 @@ def evaluate(ctx: Context, rules: list) -> DataFrame:
         out = ctx.fixed(first)
         if first.head and len(first.head) != len(out.columns):
             raise EngineError("parser::fixed_arity", f"{first.call} has {len(out.columns)} columns, not {len(first.head)}")
-        return out.toDF(*map(str, range(len(out.columns))))
+        out = out.toDF(*map(str, range(len(out.columns))))
+        # algorithms give each node or pair once; readers and custom rules may repeat rows
+        return out if first.call in ctx.sets else out.distinct()
     head = head_of(rules)
     found = [(h, body_rows(ctx, b)) for h, b in bodies_of(rules)]
     frames = [head_rows(ctx, h, b) for h, b in found]

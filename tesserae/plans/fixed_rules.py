@@ -163,3 +163,6 @@ RULES: dict[str, Callable[[Call], DataFrame]] = {
     "CsvReader": lambda c: readers.read_csv(c.spark, c.get("url", kind=str), c.get("types"), c.get("delimiter", ",", str), c.get("has_headers", True, bool), c.get("prepend_index", False, bool)),
     "JsonReader": lambda c: readers.read_json(c.spark, c.get("url", kind=str), c.get("fields"), c.get("json_lines", True, bool), c.get("null_if_absent", False, bool), c.get("prepend_index", False, bool)),
 }
+
+#: Rules whose rows are distinct by construction.
+DISTINCT = frozenset(RULES) - {"ReorderSort", "Constant", "CsvReader", "JsonReader"}

@@ -104,7 +104,7 @@ class Session:
             r = self.catalog.relations.get(name)
             return r.key_names if r and r.keys else None
 
-        ctx = Context(self.spark, relation, lambda atom, rows, c: search.search_atom(self.catalog, atom, rows, constant), lambda rule: self.fixed(rule, ctx), keys)
+        ctx = Context(self.spark, relation, lambda atom, rows, c: search.search_atom(self.catalog, atom, rows, constant), lambda rule: self.fixed(rule, ctx), keys, sets=fixed_rules.DISTINCT - self.custom.keys())
         ctx.rules.update(extra or {})
         return ctx
 
