@@ -9,7 +9,8 @@ each class in a bucket is first compared with one class only, that which shares
 others. Then the classes in buckets that still hold more than one component are compared across components. A group of copies
 too far apart to link would make pairs as the square of its size here, so an exact prefix filter
 picks the pairs: sets that reach the threshold share one of the few shingles that come first in an
-order of rising frequency, and copies that are far apart put their own edits first. Every
+order of rising frequency, and copies that are far apart put their own edits first, so that few of
+the shingles that follow are shared and most of their pairs are ruled out in the join. Every
 comparison is on full shingle sets. What is left to chance is only whether a pair at the threshold
 shares a bucket: it fails with probability 2 (1 - t^k)^m at most.
 
@@ -148,7 +149,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
 # --- the prefix filter -----------------------------------------------------------------------------
 
-LISTED = 64  # prefixes up to this length ride along, so that a pair is made once; longer ones may make it more often
+LISTED = 64  # so many of its first shingles ride along with a row, to make a pair once and only if these can hold its overlap
 SLOTS, CHUNKS = 1 << 18, 64  # a fixed-size sketch of how often shingles occur; any order is exact
 
 
@@ -175,8 +176,8 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Sizes in steps of about 2 %."""
-    return int(np.floor(np.log(n) / np.log(1.02) + 1e-9))
+    """Sizes in steps of about 4 %."""
+    return int(np.floor(np.log(n) / np.log(1.04) + 1e-9))
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -196,36 +197,57 @@ def prefixes(n: int, percent: int) -> tuple[tuple[int, int], list[tuple[int, int
     return small, large
 
 
-def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members(node, root, shingles) with different roots that share a prefix shingle."""
-    order = members.sparkSession.sparkContext.broadcast(frequencies(members))  # SLOTS numbers
+def profiles(sets: DataFrame, percent: int) -> DataFrame:
+    """For each of sets(node, shingles): node, n, usual (how often its shingles occur, on average), first (its
+    shingles that come first in the order of rising frequency, at least as many as any prefix), small and large
+    (the classes and prefix lengths of prefixes())."""
+    order = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # SLOTS numbers
+    role = pa.struct([("c", pa.int32()), ("k", pa.int32())])
 
-    def rows(batches):
+    def run(batches):
         known: dict[int, tuple] = {}
         for big in batches:
             for batch in small_batches([big], "shingles", 1 << 20):
-                out: list[list] = [[], [], [], [], [], [], []]
-                for node, root, blob in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles"), strict=True):
+                ns, usual, first, small, large = [], [], [], [], []
+                for blob in batch.column("shingles"):
                     x = np.frombuffer(blob.as_buffer(), "<u8")
                     n = len(x)
                     if n not in known:
-                        known[n] = prefixes(n, percent)
-                    small, large = known[n]
-                    longest = max(k for _, k in (small, *large))
+                        one, many = prefixes(n, percent)
+                        known[n] = ({"c": one[0], "k": one[1]}, [{"c": c, "k": k} for c, k in many], max(k for _, k in (one, *many)))
+                    one, many, longest = known[n]
                     often = order.value[(x & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    first = x[np.lexsort((x, often))[:longest]].view(np.int64).tolist()
-                    for role, (c, k) in [(0, small), *[(1, y) for y in large]]:
-                        for column, values in zip(out, ([c] * k, first[:k], [role] * k, [node] * k, [root] * k, [n] * k, [first[:k] if k <= LISTED else None] * k), strict=True):
-                            column += values
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())], strict=True)], names=["c", "shingle", "role", "node", "root", "n", "prefix"])
-
-    entries = materialise(members.select("node", "root", "shingles").mapInArrow(rows, "c int, shingle long, role int, node binary, root binary, n long, prefix array<long>"), "minhash_prefixes")
-    x = entries.where("role = 0").select("c", "shingle", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("prefix").alias("px"))
-    y = entries.where("role = 1").select("c", "shingle", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("prefix").alias("py"))
-    # of two sets of one size either may be the smaller; a pair of short prefixes is made at one shared shingle only
-    once = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    first = F.coalesce(F.array_min(F.array_intersect("px", "py")) == F.col("shingle"), F.lit(True))
-    found = x.join(y, ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & once & may_link("nx", "ny", percent) & first)
+                    ns.append(n)
+                    usual.append(float(often.sum()) / n)
+                    first.append(x[np.lexsort((x, often))[: max(longest, min(LISTED, 2 * longest))]].view(np.int64))
+                    small.append(one)
+                    large.append(many)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(ns, pa.int64()), pa.array(usual, pa.float64()), pa.array(first, pa.list_(pa.int64())), pa.array(small, role), pa.array(large, pa.list_(role))], names=["node", "n", "usual", "first", "small", "large"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, n long, usual double, first array<long>, small struct<c:int,k:int>, large array<struct<c:int,k:int>>")
+
+
+def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (profiles with a root) with different roots that share a prefix shingle.
+
+    The rows of either side also list their first shingles. Of sets x and y with lists of i and j, the
+    list that ends first in the order has all that it shares with the other set in the other's list, so
+    linked sets share at least min(i - |x|, j - |y|) + overlap() of their lists; other pairs are not made.
+    """
+
+    def side(role, node: str, root: str, n: str, listed: str) -> DataFrame:
+        rows = members.select("node", "root", "n", "first", role.alias("role"))
+        ride = F.when(F.col("role.k") <= LISTED, F.slice("first", 1, F.least(F.lit(LISTED), F.col("role.k") * 2)))
+        return rows.select(F.col("role.c").alias("c"), F.col("node").alias(node), F.col("root").alias(root), F.col("n").alias(n), ride.alias(listed), F.explode(F.slice("first", F.lit(1), F.col("role.k"))).alias("shingle"))
+
+    x = side(F.col("small"), "x", "rx", "nx", "px")
+    y = side(F.explode("large"), "y", "ry", "ny", "py")
+    # of two sets of one size either may be the smaller; a pair of listed sets is made at the first shared shingle only
+    order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    both = F.array_intersect("px", "py")  # in the order of frequency
+    least = F.expr(f"least(size(px) - nx, size(py) - ny) + ({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    listed = F.col("px").isNull() | F.col("py").isNull() | (F.element_at(both, 1) == F.col("shingle")) & (F.size(both) >= least)
+    found = x.join(y, ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & order & may_link("nx", "ny", percent) & listed)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -239,16 +261,19 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     shared = tables.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("c"))
     full = materialise(tables.join(shared, "key").select("key", "node", "n", "c"), "minhash_buckets")
 
-    # first step: each class against the class of its bucket that meets most others over all buckets
-    # (the text that a group's copies were made from meets more of them than any copy does)
-    score = full.groupBy("node").agg(F.sum("c").alias("score")).withColumnRenamed("node", "_node")
-    ranked = full.join(score, F.col("node") == F.col("_node")).select("key", "node", "n", "score")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
-    stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    stars = materialise(stars, "minhash_stars")
     named = classes.select("node", "doc")
     in_buckets = full.select("node").distinct()
     sets = materialise(sets_of(docs, named.join(in_buckets, "node", "left_semi").select("doc"), s).dropDuplicates(["node"]), "minhash_sets")
+    profile = materialise(profiles(sets, s.percent), "minhash_profiles")
+
+    # first step: each class against the class of its bucket that meets most others over all buckets
+    # (the text that a group's copies were made from meets more of them than any copy does; a copy that
+    # has all of its hashes meets as many, but has edits of its own, which are less usual)
+    score = full.groupBy("node").agg(F.sum("c").alias("score")).join(profile.select("node", "usual"), "node").withColumnRenamed("node", "_node")
+    ranked = full.join(score, F.col("node") == F.col("_node")).select("key", "node", "n", "score", "usual")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "usual", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
+    stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    stars = materialise(stars, "minhash_stars")
     links = materialise(confirm(stars, sets, s.percent), "minhash_links")
     known = components(links)
 
@@ -257,7 +282,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     labelled = materialise(labelled, "minhash_labelled")
     mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     mixed = labelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
-    members = materialise(mixed.join(sets, "node"), "minhash_members")
+    members = materialise(mixed.join(profile, "node"), "minhash_members")
     more = filtered_pairs(members, s.percent)
     more = more.join(stars, ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, s.percent), "minhash_more")
