@@ -147,8 +147,8 @@ script("conversion_functions", "?[k, a, b, c] := *nation{n_nationkey: k, n_name:
 
 for _kind, _sql in (("L2", "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))"), ("IP", "1 - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])"), ("Cosine", "1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])")):
     script(f"knn_{_kind.lower()}", "?[q, k, d] := *embeddings{vec_id: q, embedding: v}, q % 100 == 0, ~embeddings:near{vec_id: k | query: v, k: 5, bind_distance: x}, d = abs(round(x * 10000))", f"SELECT q, k, abs(round(d * 10000)) AS d FROM (SELECT y.vec_id AS q, x.vec_id AS k, {_sql} AS d, row_number() OVER (PARTITION BY y.vec_id ORDER BY {_sql}, x.vec_id) AS i FROM embeddings x, embeddings y WHERE y.vec_id % 100 = 0) WHERE i <= 5", setup=f"::hnsw create embeddings:near {{dim: 64, fields: [embedding], distance: {_kind}}}")
-script("fts_tf_idf", "?[k, s] := ~documents:words{doc_id: k | query: 'the AND with NOT onnt', k: 50000, bind_score: x}, s = round(x * 1000)", "WITH w AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents) GROUP BY 1, 2), n AS (SELECT t, count(*) AS n FROM w GROUP BY 1), s AS (SELECT doc_id, sum(tf * ln(1 + ((SELECT count(*) FROM documents WHERE text IS NOT NULL) - n + 0.5) / (n + 0.5))) AS s, count(*) AS c FROM w JOIN n USING (t) WHERE t IN ('the', 'with') GROUP BY 1) SELECT doc_id AS k, round(s * 1000) AS s FROM s WHERE c = 2 AND doc_id NOT IN (SELECT doc_id FROM w WHERE t = 'onnt')", setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
-script("fts_prefix_near", "?[k] := ~documents:words{doc_id: k | query: 'NEAR/3(the with) OR licen*', k: 100000}", None, setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
+script("fts_tf_idf", "?[k, s] := ~documents:words{doc_id: k | query: 'the AND with NOT onnt', bind_score: x}, s = round(x * 1000)", "WITH w AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents) GROUP BY 1, 2), n AS (SELECT t, count(*) AS n FROM w GROUP BY 1), s AS (SELECT doc_id, sum(tf * ln(1 + ((SELECT count(*) FROM documents WHERE text IS NOT NULL) - n + 0.5) / (n + 0.5))) AS s, count(*) AS c FROM w JOIN n USING (t) WHERE t IN ('the', 'with') GROUP BY 1) SELECT doc_id AS k, round(s * 1000) AS s FROM s WHERE c = 2 AND doc_id NOT IN (SELECT doc_id FROM w WHERE t = 'onnt')", setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
+script("fts_prefix_near", "?[k] := ~documents:words{doc_id: k | query: 'NEAR/3(the with) OR licen*'}", None, setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
 script("lsh_search", "?[q, k] := *documents{doc_id: q, text: t}, q % 100 == 0, ~documents:near{doc_id: k | query: t}", None, setup="::lsh create documents:near {extractor: text, tokenizer: Simple, filters: [Lowercase], n_gram: 5, n_perm: 128, target_threshold: 0.7}")
 
 # --- graphs ------------------------------------------------------------------------------------------------------

@@ -123,3 +123,10 @@ def test_against_duckdb(spark, sf, name):
     want = sorted(tuple(norm(r[columns.index(c)]) for c in order) for r in found.fetchall())
     assert sorted(columns) == order
     assert sorted(tuple(norm(r[c]) for c in order) for r in df.collect()) == want
+
+
+def test_full_text_queries_return_every_hit(spark, tmp_path):
+    n = 100_003
+    spark.range(n).selectExpr("id AS doc_id", "'the with' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["fts_tf_idf"](spark, str(tmp_path)).count() == n
+    assert QUERIES["fts_prefix_near"](spark, str(tmp_path)).count() == n
