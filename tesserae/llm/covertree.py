@@ -228,22 +228,25 @@ def cells(classes: DataFrame, s: Settings) -> DataFrame:
     bounded aggregate and joined back by label; a second pass has each cell's covering radius.
     """
     groups = ["label", "dim"]
-    counts = classes.groupBy(*groups).count()
+    counts = classes.groupBy(*groups).agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("_least"))
     share = F.least(F.lit(s.most_pivots), F.ceil(F.col("count") / F.lit(s.cell)))
-    # a hash threshold keeps about twice the pivots wanted; the window then ranks these few
-    few = classes.join(counts.withColumn("want", share).select(F.col("label").alias("_l"), F.col("dim").alias("_d"), "want", "count"), (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
-    few = few.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= F.lit(float(1 << 20)) * (2 * F.col("want") + 8) / F.col("count"))
+    # a hash threshold keeps about twice the pivots wanted, and the smallest class stands for a group where none passes
+    few = classes.join(counts.withColumn("want", share).select(F.col("label").alias("_l"), F.col("dim").alias("_d"), "want", "count", "_least"), (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
+    passes = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= F.lit(float(1 << 20)) * (2 * F.col("want") + 8) / F.col("count")
+    few = few.where(passes | (F.col("node") == F.col("_least")))
     pivots = few.groupBy("label", "dim", "want").agg(F.sort_array(F.collect_list("unit")).alias("all"))
     pivots = materialise(pivots.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.slice("all", F.lit(1), F.col("want").cast("int")).alias("pivots")), "cover_pivots")
 
-    own = classes.join(pivots, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d"))).drop("_l", "_d")
+    own = classes.join(pivots, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")), "left").drop("_l", "_d")
     base = "node binary, label {l}, dim int, size long, unit binary".format(l=classes.schema["label"].dataType.simpleString())
 
     def place(batches):
         for b in batches:
             frame = b.to_pandas()
             out = []
-            for _, rows in frame.groupby(["label", "dim"], sort=False):
+            for _, rows in frame.groupby(["label", "dim"], sort=False, dropna=False):
+                if rows["pivots"].iloc[0] is None:
+                    raise ValueError(f"no pivot for label {rows['label'].iloc[0]!r}")
                 p = matrix(rows["pivots"].iloc[0])
                 d = distances(matrix(rows["unit"].tolist()), p)
                 rows = rows.drop(columns="pivots")

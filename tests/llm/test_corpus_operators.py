@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tesserae.llm import common, covertree, lm, minhash, mixing, packing, queries
 
 
@@ -267,6 +269,17 @@ def test_embedding_near_duplicates(spark, sf):
     assert covertree.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_a_label_whose_classes_all_miss_the_pivot_threshold(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    while len(rows) < 60:
+        v = [float(x) for x in np.array([1.0, 0.0, 0.0, 0.0]) + rng.normal(size=4) * 0.05]
+        node = xxhash.xxh3_128_digest(repr(7).encode() + b"|" + covertree.unit(v).tobytes())
+        if xxhash.xxh64_intdigest(node, 42) % (1 << 20) > (1 << 20) * 10 / 60:
+            rows.append((len(rows), 7, v))
+    assert check_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")) > 1000
+
+
 def test_cover_tree_prunes():
     rng = np.random.default_rng(7)
     x = np.repeat(rng.normal(size=(50, 32)), 40, axis=0) + rng.normal(size=(2000, 32)) * 0.01
