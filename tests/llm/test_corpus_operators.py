@@ -229,6 +229,28 @@ def test_minhash_far_copies_of_one_text(spark):
     check_minhash(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_pipeline_links_pairs_from_four_fifths_on(spark):
+    """Pairs of 100 shingles or more that share 0.80 to 0.85 of them, and one pair just below 0.80 that stays apart."""
+    rows, want = [], set()
+    for i in range(40):
+        text = [f"w{i}_{j}" for j in range(104 + i)]
+        # an edit of the last words costs each text as many shingles
+        n = len(text) - 4
+        edits = next(e for e in range(n) if 100 * (n - e - 1) < 80 * (n + e + 1))
+        near = text[: len(text) - edits] + [f"x{i}_{j}" for j in range(edits)]
+        share = len(shingles(" ".join(text)) & shingles(" ".join(near))) / len(shingles(" ".join(text)) | shingles(" ".join(near)))
+        assert 0.80 <= share < 0.85
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+        want.add(2 * i)
+    far = text[: len(text) - edits - 1] + [f"y{j}" for j in range(edits + 1)]
+    assert len(shingles(" ".join(text)) & shingles(" ".join(far))) < 0.8 * len(shingles(" ".join(text)) | shingles(" ".join(far)))
+    rows += [(1000, " ".join(f"z{j}" for j in range(100))), (1001, " ".join(f"q{j}" for j in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want | {1000, 1001}
+    apart = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(far))], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, apart, "").count() == 2
+
+
 def test_minhash_odd_rows(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == 9 and sum(r["doc_id"] == 3 and r["kept"] for r in got) == 2
