@@ -5,7 +5,11 @@ Templates are cut into words; hashes of runs of `k` words are winnowed (the leas
 a document is looked up; each document's hits are clustered by template and place, and a banded
 local alignment of the template with the words around a cluster gives the matched share of the
 template's words (coverage) and the matched span of the text. Any common run of k + w - 1 words
-holds a fingerprint, so no such match is missed.
+holds a fingerprint. k and w are at most those of the settings, and smaller for a template where
+the edits that the coverage leaves room for can break it into shorter runs: with e edited words (words
+changed, left out or put in) of n, one run of (n - e) / (e + 1) words stays, and holds a fingerprint.
+So each text within that many edits of a template is aligned. Clusters around which too few of the
+template's words stand for the coverage are not.
 
 The index is the templates' (a parameter of bounded size), not the corpus's. Nulls and empty texts
 match nothing. Texts are scanned whole; each copy of a notice is reported. Repeated rows give equal
@@ -75,18 +79,42 @@ def hashes(flat: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()]
 
 
+def unbroken(n: int, coverage: float) -> int:
+    """Words of the longest run that stays of n words after all edits that leave the coverage."""
+    e = next(e for e in range(n, -1, -1) if n - e >= coverage * n)
+    return -(-(n - e) // (e + 1))
+
+
 class Index:
+    """places: for each length of runs, templates and places by fingerprint; known: the fingerprints."""
+
     def __init__(self, s: Settings) -> None:
         self.s, self.names = s, list(s.templates)
         self.words = [hashes(pa.array(WORD.findall(t), pa.large_string())) for t in s.templates.values()]
-        places: dict[int, list] = {}
+        self.places: dict[int, dict[int, list]] = {}
         for t, words in enumerate(self.words):
-            runs = windows(words, s.k)
-            chosen = {i + int(runs[i : i + s.w].argmin()) for i in range(max(1, len(runs) - s.w + 1))} if len(runs) else set()
-            for i in chosen:
-                places.setdefault(int(runs[i]), []).append((t, i))
-        self.places = places
-        self.known = np.array(sorted(places), np.uint64)
+            if not len(words):
+                continue
+            run = max(1, unbroken(len(words), s.coverage))
+            k = min(s.k, run)
+            w = min(s.w, run - k + 1)
+            runs = windows(words, k)
+            for i in sorted({i + int(runs[i : i + w].argmin()) for i in range(max(1, len(runs) - w + 1))}):
+                self.places.setdefault(k, {}).setdefault(int(runs[i]), []).append((t, i))
+        self.known = {k: np.array(sorted(p), np.uint64) for k, p in self.places.items()}
+
+    def seeds(self, words: np.ndarray, doc: np.ndarray) -> dict[int, dict[int, list[int]]]:
+        """For each document with hits, by template: the places of its words at which the template would begin."""
+        out: dict[int, dict[int, list[int]]] = {}
+        for k, places in self.places.items():
+            runs = windows(words, k)
+            hits = np.flatnonzero(np.isin(runs, self.known[k]))
+            hits = hits[doc[hits] == doc[hits + k - 1]]
+            for at, d, key in zip(hits.tolist(), doc[hits].tolist(), runs[hits].tolist(), strict=True):
+                mine = out.setdefault(d, {})
+                for t, i in places[key]:
+                    mine.setdefault(t, []).append(at - i)
+        return out
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int, int]:
@@ -119,14 +147,10 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
     return int(best[1]), int(best[0]), int(best[2]), int(best[3])
 
 
-def matches(index: Index, words: np.ndarray, hits: np.ndarray, runs: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+def matches(index: Index, words: np.ndarray, seeds: dict[int, list[int]]) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matched words, first word, last word) of a document, by place."""
-    seeds: dict[int, list[int]] = {}
-    for at in hits.tolist():
-        for t, i in index.places[int(runs[at])]:
-            seeds.setdefault(t, []).append(at - i)
     found = []
-    for t, shifts in seeds.items():
+    for t, shifts in sorted(seeds.items()):
         template = index.words[t]
         shifts.sort()
         band = min(index.s.band, max(2, len(template) // 3))  # copies of a short notice may stand close together
@@ -137,7 +161,11 @@ def matches(index: Index, words: np.ndarray, hits: np.ndarray, runs: np.ndarray)
             else:
                 clusters.append([x])
         for c in clusters:
-            m, score, a, b = align(template, words, c[len(c) // 2], band)
+            shift = c[len(c) // 2]
+            around = set(words[max(0, shift - band) : max(0, shift + len(template) + band)].tolist())
+            if sum(x in around for x in template.tolist()) < index.s.coverage * len(template):
+                continue  # all that align() could match
+            m, score, a, b = align(template, words, shift, band)
             if m >= index.s.coverage * len(template):
                 found.append((m, t, a, b, m / len(template)))
     kept: list[tuple] = []
@@ -161,15 +189,11 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         for batch in small_batches(batches, "text"):
             offsets, flat = split_words(batch.column("text"), lower=False)
             words = hashes(flat)
-            runs = windows(words, s.k)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            hits = np.flatnonzero(np.isin(runs, index.known))
-            hits = hits[doc[hits] == doc[hits + s.k - 1]]
             rows, texts, ids = [], batch.column("text"), batch.column("doc_id")
-            for d in np.unique(doc[hits]).tolist():
-                first, last = offsets[d], offsets[d + 1]
-                mine = hits[(hits >= first) & (hits < last)] - first
-                found = matches(index, words[first:last], mine, runs[first:last])
+            for d, seeds in sorted(index.seeds(words, doc).items()):
+                first, last = int(offsets[d]), int(offsets[d + 1])
+                found = matches(index, words[first:last], {t: [x - first for x in at] for t, at in seeds.items()})
                 if found:
                     spans = [m.span() for m in WORD.finditer(texts[d].as_py())]
                     rows += [(ids[d].as_py(), index.names[t], cover, m, spans[a][0], spans[b][1]) for t, cover, m, a, b in found]

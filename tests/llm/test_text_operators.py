@@ -197,3 +197,35 @@ def test_license_scan_finds_every_planted_notice(spark, sf):
         for i, t in texts.items():
             if text in t:
                 assert any(d == i for d, _ in found), (i, name)
+
+
+def test_license_scan_aligns_every_edit_that_coverage_allows():
+    import numpy as np
+
+    index = license.Index(license.Settings())
+    rng = np.random.default_rng(8)
+
+    def found(words):
+        text = np.concatenate([rng.integers(0, 1 << 62, 20).astype(np.uint64), words, rng.integers(0, 1 << 62, 20).astype(np.uint64)])
+        return license.matches(index, text, index.seeds(text, np.zeros(len(text), np.int64)).get(0, {}))
+
+    other = np.uint64(1)
+    for t, words in enumerate(index.words):
+        n = len(words)
+        for i in range(0, n, 1 if n < 30 else n // 3):  # alignments of long templates take long
+            cases = [(np.concatenate([words[:i], [other], words[i:]]), n)] if i else []
+            if n - 1 >= 0.8 * n:
+                cases += [(np.concatenate([words[:i], [other], words[i + 1 :]]), n - 1), (np.delete(words, i), n - 1)]
+            for edited, least in cases:
+                assert any(m >= least for _, _, m, _, _ in found(edited)), (index.names[t], i)
+        # as many changed words as coverage allows, spread as evenly as can be
+        e = next(e for e in range(n, -1, -1) if n - e >= 0.8 * n)
+        edited = words.copy()
+        edited[[(j + 1) * (n + 1) // (e + 1) - 1 for j in range(e)]] = other
+        assert found(edited), index.names[t]
+
+
+def test_license_scan_finds_near_forms_of_short_notices(spark):
+    rows = [(1, "Licensed under the MIT Licence."), (2, "x\nLicensed under an MIT License\ny"), (3, "Licenced under the Apache License, Version 2.0."), (4, "Licensed under the Apache License, Vers. 2.0."), (5, "Licensed under CC BY 3.0."), (6, "go under the bridge, the MIT campus")]
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(1, "MIT-notice"), (2, "MIT-notice"), (3, "Apache-2.0-notice"), (4, "Apache-2.0-notice"), (5, "CC-BY-4.0-notice")]
