@@ -43,6 +43,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country (fixed values of the registry).
+IBAN_LENGTH = {c: n for n, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT"}.items() for c in names.split()}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
@@ -67,6 +69,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans with a right checksum. A match may run on into upper-case words or numbers: of its beginnings that end with a
+    word, the one of the country's length comes first, then the match as it is, and without a known length each, longest first."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        start, whole = m.span()
+        ends = [whole, *[i for i in range(whole - 1, start, -1) if text[i] == " "]]
+        length = {e: e - start - text.count(" ", start, e) for e in ends}
+        wanted = IBAN_LENGTH.get(text[start : start + 2])
+        tries = ends if wanted is None else [*[e for e in ends if length[e] == wanted], whole]
+        end = next((e for e in tries if 15 <= length[e] <= 34 and mod97(text[start:e].replace(" ", ""))), None)
+        if end is not None:
+            out.append((start, end))
+        at = start + 1 if end is None else end
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the base pattern, found from each @ outwards, so that text without one costs nothing."""
     out, free = [], 0
@@ -118,13 +137,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], settings: Settings)
             taken.append((m.start(), m.end()))
             out.append((m.start(), KINDS.index(kind), m.end(), score))
 
-    for m in IBAN.finditer(text):
-        value = m.group().replace(" ", "")
-        if 15 <= len(value) <= 34 and mod97(value):
-            # an IBAN may hold a card-like run of digits: it is reported beside the base span
-            score = PRIOR["iban"] + CHECKED + NEAR * near(text, m.start(), m.end(), "iban", settings.window)
-            out.append((m.start(), KINDS.index("iban"), m.end(), score))
-            taken.append((m.start(), m.end()))
+    for start, end in ibans(text):
+        # an IBAN may hold a card-like run of digits: it is reported beside the base span
+        score = PRIOR["iban"] + CHECKED + NEAR * near(text, start, end, "iban", settings.window)
+        out.append((start, KINDS.index("iban"), end, score))
+        taken.append((start, end))
     for m in NATIONAL.finditer(text):
         a, b, c = m.group().split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":

@@ -124,6 +124,19 @@ def test_pii_checksums_context_and_redaction(spark, odd):
     assert pii.find(odd).count() == 8
 
 
+def test_pii_ibans_before_upper_case_words_and_numbers():
+    found = lambda t: [t[s:e] for s, k, e, _ in pii.spans(t, pii.Settings())[1] if pii.KINDS[k] == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    for after in ("", " BIC COBADEFFXXX", " A", " EUR 500", " 500", " 12 34 56 78 90 12 34", " and more", ", X", " Bank"):
+        for x in (de, de.replace(" ", ""), gb, no):
+            assert found(f"pay to {x}{after}") == [x], (x, after)
+    assert found(f"{no} {no} {gb} {de}") == [no, no, gb, de]
+    assert found("AB12 3456 7890 1234 " + no) == [no]
+    assert found("GB82 WEST 1234 5698 7654 33 EUR 500") == []
+    assert "DE89" not in pii.redact(f"{de} BIC COBADEFFXXX", pii.Settings())
+    assert found("AA00 " * 20_000) == []
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div><article><header><h1>Title &amp; more</h1></header><p>First  para\n with <b>bold</b> text that goes on for a while so that it is long enough.<p>Short.<br>Line</p><script>var t='</p>';</script><div class='ad'>Buy now</div><ul><li>One item<li>Two item</ul><form><input><p>Subscribe</p></form></article><section id='comments'><p>Nice post, thank you very much for writing this long article about things.</p></section><aside>Related</aside><footer>&copy; me</footer></body></html>"
     assert html.main_blocks(page) == ["Title & more", "First para with bold text that goes on for a while so that it is long enough.", "Short. Line", "One item", "Two item"]
