@@ -83,7 +83,8 @@ def split_words(text: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
     """Offsets of each text's words in the flat array of all words; null texts have none."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    # a fresh copy: after a cast, the offsets of a slice do not begin at 0, and some string kernels read them as if they did
+    text = pc.fill_null(text.take(pa.array(np.arange(len(text)))).cast(pa.large_string()), "")
     if lower:
         text = pc.ascii_lower(text)
     text = pc.ascii_trim_whitespace(text)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, hash_words, materialise, mix, small_batches, split_words, windows
+from tesserae.llm.common import components, discard, hash_words, materialise, mix, small_batches, split_words, windows
 
 
 @dataclass(frozen=True)
@@ -259,37 +259,40 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     classes = materialise(classes, "minhash_classes")
     tables = entries(classes, s.m)
     shared = tables.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("c"))
-    full = materialise(tables.join(shared, "key").select("key", "node", "n", "c"), "minhash_buckets")
+    # a row for each class that shares a bucket, with its shared keys (m * m at most): what is known of a class is
+    # joined to it once, and the keys are spelled out again after that
+    met = materialise(tables.join(shared, "key").groupBy("node").agg(F.first("n").alias("n"), F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "minhash_met")
 
-    named = classes.select("node", "doc")
-    in_buckets = full.select("node").distinct()
-    sets = materialise(sets_of(docs, named.join(in_buckets, "node", "left_semi").select("doc"), s).dropDuplicates(["node"]), "minhash_sets")
+    wanted = classes.select("node", "doc").join(met.select("node"), "node", "left_semi").select("doc")
+    sets = materialise(sets_of(docs, wanted, s).dropDuplicates(["node"]), "minhash_sets")
     profile = materialise(profiles(sets, s.percent), "minhash_profiles")
 
     # first step: each class against the class of its bucket that meets most others over all buckets
     # (the text that a group's copies were made from meets more of them than any copy does; a copy that
     # has all of its hashes meets as many, but has edits of its own, which are less usual)
-    score = full.groupBy("node").agg(F.sum("c").alias("score")).join(profile.select("node", "usual"), "node").withColumnRenamed("node", "_node")
-    ranked = full.join(score, F.col("node") == F.col("_node")).select("key", "node", "n", "score", "usual")
+    ranked = met.join(profile.select("node", "usual"), "node").select(F.explode("keys").alias("key"), "node", "n", "score", "usual")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "usual", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
+    full = met.select(F.explode("keys").alias("key"), "node", "n")
     stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     stars = materialise(stars, "minhash_stars")
     links = materialise(confirm(stars, sets, s.percent), "minhash_links")
-    known = components(links)
+    known = components(links).withColumnRenamed("node", "_node")
 
     # second step: classes of different components that still share a bucket
-    labelled = full.select("key", "node", "n").join(known.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    labelled = met.join(known, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "keys")
     labelled = materialise(labelled, "minhash_labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    mixed = labelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    spelled = labelled.select(F.explode("keys").alias("key"), "node", "root")
+    mixed = spelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    mixed = spelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
     members = materialise(mixed.join(profile, "node"), "minhash_members")
-    more = filtered_pairs(members, s.percent)
-    more = more.join(stars, ["a", "b"], "left_anti")
+    more = filtered_pairs(members, s.percent).join(stars, ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, s.percent), "minhash_more")
     if not more.isEmpty():
-        known = components(links.unionByName(more))
+        known = components(links.unionByName(more)).withColumnRenamed("node", "_node")
+    for done in (met, sets, profile, stars, labelled, members):
+        discard(done)
 
-    roots = classes.join(known.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    roots = classes.join(known, F.col("node") == F.col("_node"), "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("least")).withColumnRenamed("root", "_root")
     ids = roots.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "least")
     out = rows.join(ids, F.col("node") == F.col("_node"), "left")
