@@ -80,7 +80,7 @@ def windows_of(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null for an empty one), the small hashes."""
+    """doc_id, n_shingles, digest (of the set; null for an empty one), the small hashes."""
     seeds = mix(np.arange(1, s.minhashes + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -96,16 +96,16 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                     seen[node] = small_hashes(x, seeds, s.k).view(np.int64).tolist()
                 rows.append((len(x), node, seen[node]))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.list_(pa.int64())], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "digest", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, hashes array<long>")
 
 
 def entries(classes: DataFrame, m: int) -> DataFrame:
-    """(key, node, n) for each of the m * m tables."""
+    """(key, node) for each of the m * m tables."""
     first, second = F.slice("hashes", 1, m), F.slice("hashes", m + 1, m)
     keys = F.flatten(F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(i, j, a, b))))
-    return classes.select(F.explode(keys).alias("key"), "node", "n")
+    return classes.select(F.explode(keys).alias("key"), "node")
 
 
 def may_link(a, b, percent: int):
@@ -130,21 +130,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept = batch.filter(pa.array(yes, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(node, shingles) for the wanted(doc) ids' texts."""
+    """(node, shingles) of wanted(doc, digest, node): of the texts with the id doc, those with this digest."""
     kind = wanted.schema["doc"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
-    texts = texts.join(wanted.distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "digest", "node")
 
     def run(batches):
         for batch in small_batches(batches, "text"):
-            x = [v for v in shingle_sets(batch.column("text"), s.words) if len(v)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(v.tobytes()) for v in x], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "shingles"])
+            x = shingle_sets(batch.column("text"), s.words)
+            blobs = [v.tobytes() for v in x]
+            right = [xxhash.xxh3_128_digest(v) == d for v, d in zip(blobs, batch.column("digest").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    return texts.select("text").mapInArrow(run, "node binary, shingles binary")
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 # --- the prefix filter -----------------------------------------------------------------------------
@@ -224,7 +226,7 @@ def profiles(sets: DataFrame, percent: int) -> DataFrame:
                     large.append(many)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(ns, pa.int64()), pa.array(usual, pa.float64()), pa.array(first, pa.list_(pa.int64())), pa.array(small, role), pa.array(large, pa.list_(role))], names=["node", "n", "usual", "first", "small", "large"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node binary, n long, usual double, first array<long>, small struct<c:int,k:int>, large array<struct<c:int,k:int>>")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, usual double, first array<long>, small struct<c:int,k:int>, large array<struct<c:int,k:int>>")
 
 
 def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -255,35 +257,38 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     s = settings or Settings()
     rows = materialise(signatures(docs, s), "minhash_rows")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes"))
-    classes = materialise(classes, "minhash_classes")
+    # a class has a short number from here on, fixed by being written
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("hashes").alias("hashes"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "minhash_classes")
     tables = entries(classes, s.m)
     shared = tables.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("c"))
     # a row for each class that shares a bucket, with its shared keys (m * m at most): what is known of a class is
     # joined to it once, and the keys are spelled out again after that
-    met = materialise(tables.join(shared, "key").groupBy("node").agg(F.first("n").alias("n"), F.sum("c").alias("score"), F.collect_list("key").alias("keys")), "minhash_met")
+    met = tables.join(shared, "key").groupBy("node").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("c") > 2, F.col("key"))).alias("large"))
+    met = materialise(met, "minhash_met")
 
-    wanted = classes.select("node", "doc").join(met.select("node"), "node", "left_semi").select("doc")
+    wanted = classes.join(met.select("node"), "node", "left_semi").select("doc", "digest", "node")
     sets = materialise(sets_of(docs, wanted, s).dropDuplicates(["node"]), "minhash_sets")
     profile = materialise(profiles(sets, s.percent), "minhash_profiles")
 
     # first step: each class against the class of its bucket that meets most others over all buckets
     # (the text that a group's copies were made from meets more of them than any copy does; a copy that
     # has all of its hashes meets as many, but has edits of its own, which are less usual)
-    ranked = met.join(profile.select("node", "usual"), "node").select(F.explode("keys").alias("key"), "node", "n", "score", "usual")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("score", "usual", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
-    full = met.select(F.explode("keys").alias("key"), "node", "n")
+    ranked = met.join(profile.select("node", "n", F.struct("usual", "node").alias("usual")), "node").select("node", "n", F.struct("score", "usual").alias("rank"), "keys", "large")
+    hubs = ranked.select(F.explode("keys").alias("key"), "node", "n", "rank").groupBy("key").agg(F.max(F.struct("rank", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
+    full = ranked.select(F.explode("keys").alias("key"), "node", "n")
     stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     stars = materialise(stars, "minhash_stars")
     links = materialise(confirm(stars, sets, s.percent), "minhash_links")
     known = components(links).withColumnRenamed("node", "_node")
 
-    # second step: classes of different components that still share a bucket
-    labelled = met.join(known, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "keys")
+    # second step: buckets in which classes other than the hub, which has met them all, are of different components
+    labelled = ranked.where(F.size("large") > 0).join(known, F.col("node") == F.col("_node"), "left").select("node", "rank", F.coalesce("root", "node").alias("root"), "large")
     labelled = materialise(labelled, "minhash_labelled")
-    spelled = labelled.select(F.explode("keys").alias("key"), "node", "root")
-    mixed = spelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    mixed = spelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    spelled = labelled.select(F.explode("large").alias("key"), "node", "rank", "root")
+    roots = spelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.max("rank").alias("rank")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rank", "k")).alias("hub"))
+    mixed = roots.where(F.col("roots") - F.when(F.col("hub.k") == 1, 1).otherwise(0) > 1).select("key")
+    mixed = spelled.select("key", "node", "root").join(mixed, "key", "left_semi").select("node", "root").distinct()
     members = materialise(mixed.join(profile, "node"), "minhash_members")
     more = filtered_pairs(members, s.percent).join(stars, ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, s.percent), "minhash_more")
@@ -292,11 +297,11 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     for done in (met, sets, profile, stars, labelled, members):
         discard(done)
 
-    roots = classes.join(known, F.col("node") == F.col("_node"), "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    roots = classes.join(known, F.col("node") == F.col("_node"), "left").select("digest", "doc", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("least")).withColumnRenamed("root", "_root")
-    ids = roots.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "least")
-    out = rows.join(ids, F.col("node") == F.col("_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    ids = roots.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "least")
+    out = rows.select("doc_id", "n_shingles", "digest").join(ids, F.col("digest") == F.col("_digest"), "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
