@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 SF_DIR, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["revenue_by_nation", "agg_numeric", "scan_filter_project", "join_equi", "join_anti", "topk", "agg_count_unique", "agg_latest_by", "graph_expansion_2", "graph_pagerank", "graph_connected_components", "graph_triangles", "recursion_transitive_closure", "knn_cosine", "fts_tf_idf", "asof_scan"]
+HEADLINE = ["revenue_by_nation", "agg_numeric", "scan_filter_project", "join_equi", "join_anti", "topk", "agg_count_unique", "agg_latest_by", "graph_expansion_2", "graph_pagerank", "graph_connected_components", "graph_triangles", "recursion_transitive_closure", "recursion_min_hops", "knn_cosine", "fts_tf_idf", "asof_scan"]
 
 
 def main() -> None:

@@ -68,38 +68,19 @@ def intersect(x, t, *_):
     return F.sort_array(F.aggregate(F.slice(every, 2, 1 << 30), F.array_distinct(F.get(every, F.lit(0))), lambda a, b: F.array_intersect(a, b)))
 
 
-def bits(op: str):
-    import functools
-    import operator
+BITS = {"bit_and": F.bit_and, "bit_or": F.bit_or, "bit_xor": F.bit_xor}
+WORD = 7  # bytes that a long holds without its sign
 
-    f = {"and": operator.and_, "or": operator.or_, "xor": operator.xor}[op]
 
-    def fold(values) -> bytes:
-        out = None
-        for v in values:
-            if v is None:
-                continue
-            if out is not None and len(out) != len(v):
-                raise ValueError("bytes of different lengths")
-            out = bytes(v) if out is None else bytes(f(a, b) for a, b in zip(out, v, strict=True))
-        return out
-
-    def make(x, t, *_):
-        if op == "xor":  # equal values cancel: not a set operation
-            return F.pandas_udf(fold, "binary", F.PandasUDFType.GROUPED_AGG)(x)
-        return _fold_set(fold)(F.collect_set(x))
-
-    def _fold_set(fold):
-        @functools.wraps(fold)
-        def over(lists):
-            import pandas as pd
-
-            return pd.Series([fold(v) for v in lists], dtype=object)
-
-        over.__annotations__ = {}
-        return F.pandas_udf(over, "binary", F.PandasUDFType.SCALAR)
-
-    return make
+def bits(name: str, x: Column, longest: int) -> Column:
+    """Bytes as longs, each with the built-in aggregate, and bytes again; all values have one length."""
+    n = F.max(F.octet_length(x))
+    same = F.when(F.min(F.octet_length(x)) != n, F.raise_error(F.lit("bytes of different lengths")).cast("int")).otherwise(n)
+    parts = []
+    for at in range(0, longest, WORD):
+        word = BITS[name](F.conv(F.hex(F.substring(x, at + 1, WORD)), 16, 10).cast("long"))
+        parts.append(F.lpad(F.hex(word), F.greatest(F.lit(0), F.least(F.lit(WORD), same - at)) * 2, F.lit("0")))
+    return F.unhex(F.concat(*parts)) if parts else F.max(x)
 
 
 AGGREGATES: dict[str, Aggregate] = {
@@ -111,7 +92,7 @@ AGGREGATES: dict[str, Aggregate] = {
     "union": Aggregate(lambda x, t, *_: F.sort_array(F.array_distinct(F.flatten(F.collect_set(x)))), True),
     "intersection": Aggregate(intersect, True),
     "collect": Aggregate(collect),
-    "choice_rand": Aggregate(lambda x, t, *_: F.max_by(x, F.rand())),
+    "choice_rand": Aggregate(lambda x, t, *_: F.max_by(x, F.col("__rand"))),
     "count": Aggregate(lambda x, t, *_: F.count(F.lit(1))),
     "variance": Aggregate(variance(F.var_samp)),
     "std_dev": Aggregate(variance(F.stddev_samp)),
@@ -125,9 +106,9 @@ AGGREGATES: dict[str, Aggregate] = {
     "min_cost": Aggregate(min_cost, True),
     "shortest": Aggregate(shortest, True),
     "choice": Aggregate(lambda x, t, *_: F.min(x), True),  # any would do; the least is repeatable
-    "bit_and": Aggregate(bits("and"), True),
-    "bit_or": Aggregate(bits("or"), True),
-    "bit_xor": Aggregate(bits("xor")),
+    "bit_and": Aggregate(None, True),  # see bits
+    "bit_or": Aggregate(None, True),  # see bits
+    "bit_xor": Aggregate(None),  # see bits
 }
 
 NUMERIC = frozenset(["min", "max", "sum", "product", "mean", "variance", "std_dev"])
@@ -142,6 +123,10 @@ def is_meet(head: tuple) -> bool:
 def aggregated(df: DataFrame, head: tuple, inputs: list[str], constants) -> DataFrame:
     """Group df by the plain head columns; inputs[i] is the column of head argument i, outputs are 0, 1, ..."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    if any(h.aggr == "choice_rand" for h in head):
+        df = df.withColumn("__rand", F.rand())
+    of_bytes = [i for i, h in enumerate(head) if h.aggr in BITS]
+    longest = df.agg(*[F.max(F.octet_length(F.col(f"`{inputs[i]}`"))) for i in of_bytes]).first() if of_bytes else ()
     keys = [F.col(f"`{inputs[i]}`").alias(str(i)) for i, h in enumerate(head) if not h.aggr]
     made = []
     for i, h in enumerate(head):
@@ -152,6 +137,9 @@ def aggregated(df: DataFrame, head: tuple, inputs: list[str], constants) -> Data
         t = types[inputs[i]]
         if h.aggr in NUMERIC and not isinstance(t, (T.NumericType, T.NullType)) and not (h.aggr in ("min", "max") and isinstance(t, T.TimestampType)):
             raise EngineError("eval::type", f"{h.aggr} takes numbers")
+        if i in of_bytes:
+            made.append(bits(h.aggr, F.col(f"`{inputs[i]}`"), longest[of_bytes.index(i)] or 0).alias(str(i)))
+            continue
         made.append(AGGREGATES[h.aggr].make(F.col(f"`{inputs[i]}`"), t, *[constants(a) for a in h.args]).alias(str(i)))
     if keys and made:
         out = df.groupBy(*keys).agg(*made)

@@ -11,7 +11,6 @@ import json
 import math
 import unicodedata
 import uuid
-import zoneinfo
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -541,10 +540,15 @@ def vec_base64(s, kind):
     return np.frombuffer(base64.b64decode(s), np.float32 if kind == "float" else np.float64).astype(float).tolist()
 
 
-@lazily("string")
-def timestamp_text(micros, zone):
-    t = datetime.datetime.fromtimestamp(int(micros) / 1e6, datetime.UTC).astimezone(zoneinfo.ZoneInfo(zone))
-    return t.isoformat(timespec="milliseconds" if t.microsecond // 1000 else "seconds")
+def timestamp_text(micros: Column, zone: Column) -> Column:
+    """ISO text of microseconds since 1970 in a zone, without regard to the session's; milliseconds where there are any."""
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    local = F.convert_timezone(F.lit("UTC"), zone, utc)
+    text, ms = local.cast("string"), F.floor(F.pmod(micros, F.lit(1000000)) / 1000).cast("int")
+    offset = F.timestamp_diff("MINUTE", utc, local)
+    hours = F.lpad((F.abs(offset) / 60).cast("int").cast("string"), 2, "0")
+    return F.concat(F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")), F.when(ms > 0, F.concat(F.lit("."), F.lpad(ms.cast("string"), 3, "0"))).otherwise(F.lit("")), F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")), hours, F.lit(":"), F.lpad((F.abs(offset) % 60).cast("string"), 2, "0"))
 
 
 def dumps(x) -> str:

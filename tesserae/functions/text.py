@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from dataclasses import dataclass
+from typing import NamedTuple
+
+import numpy as np
 
 from tesserae.plans import ir
 from tesserae.plans.ir import EngineError
@@ -20,8 +23,7 @@ STOPWORDS = {
 }
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     text: str
     start: int
     end: int
@@ -78,21 +80,21 @@ def compounds(words: list[str]):
 
 
 def token_filter(e):
-    """A function from tokens to tokens."""
+    """A function from a word to the words that it becomes: none, one or several."""
     name, args = call_of(e)
-    change = lambda f: lambda ts: [Token(f(t.text), t.start, t.end, t.position) for t in ts]
-    keep = lambda f: lambda ts: [t for t in ts if f(t.text)]
+    change = lambda f: lambda w: [f(w)]
+    keep = lambda f: lambda w: [w] if f(w) else []
     if name in ("Lowercase", "LowerCase"):
         return change(str.lower)
     if name == "AlphaNumOnly":
-        return keep(lambda t: t.isascii() and t.isalnum())
+        return keep(lambda w: w.isascii() and w.isalnum())
     if name == "AsciiFolding":
         return change(fold)
     if name == "RemoveLong":
-        return keep(lambda t: len(t.encode()) < args[0])
+        return keep(lambda w: len(w.encode()) < args[0])
     if name == "SplitCompoundWords":
         split = compounds(args[0])
-        return lambda ts: [Token(p, t.start, t.end, t.position) for t in ts for p in (split(t.text) or [t.text])]
+        return lambda w: split(w) or [w]
     if name == "Stemmer":
         if args[0].lower() not in ("english", "en"):
             raise EngineError("parser::analyzer", f"no stemmer for {args[0]} here: english only")
@@ -101,20 +103,59 @@ def token_filter(e):
         if isinstance(args[0], str) and args[0] not in STOPWORDS:
             raise EngineError("parser::analyzer", f"no stop words for {args[0]} here: give a list")
         words = frozenset(STOPWORDS[args[0]] if isinstance(args[0], str) else args[0])
-        return keep(lambda t: t not in words)
+        return keep(lambda w: w not in words)
     raise EngineError("parser::analyzer", f"no filter {name} here")
 
 
-def analyzer(tokenizer_expr, filters: list):
-    first, rest = tokenizer(tokenizer_expr), [token_filter(f) for f in filters]
+#: Tokenizers whose tokens are runs of characters of one class: the pattern, and the test for a character.
+RUNS = {"Simple": (ALNUM, str.isalnum), "Whitespace": (re.compile(r"\S+"), lambda c: not c.isspace())}
+
+
+@functools.cache
+def characters(name: str) -> np.ndarray:
+    """For each code point, whether it is of the tokenizer's class."""
+    test = RUNS[name][1]
+    return np.fromiter((test(chr(i)) for i in range(0x110000)), bool, 0x110000)
+
+
+def runs(name: str, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, and for each its text's number, start, end and position: the same as the tokenizer's tokens."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    joined = "\n".join(texts) + "\n"
+    inside = characters(name)[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
+    starts, ends = edge[::2], edge[1::2]
+    words = RUNS[name][0].findall(joined)
+    doc = np.searchsorted(at, starts, "right") - 1
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    return words, doc, starts - at[doc], ends - at[doc], np.arange(len(starts)) - first[doc]
+
 
-    def run(text: str) -> list[Token]:
-        out = first(text)
-        for f in rest:
-            out = f(out)
-        return out
+MOST_WORDS = 1 << 18  # words whose terms are remembered
 
-    return run
+
+def terms_of(filters: list):
+    """From a word to the terms that all filters make of it; each distinct word goes through them once."""
+    rest, known = [token_filter(f) for f in filters], {}
+
+    def terms(word: str) -> list[str]:
+        found = known.get(word)
+        if found is None:
+            found = [word]
+            for f in rest:
+                found = [y for x in found for y in f(x)]
+            if len(known) >= MOST_WORDS:
+                known.clear()
+            known[word] = found
+        return found
+
+    return terms
+
+
+def analyzer(tokenizer_expr, filters: list):
+    first, terms = tokenizer(tokenizer_expr), terms_of(filters)
+    return lambda text: [Token(x, t.start, t.end, t.position) for t in first(text) for x in terms(t.text)]
 
 
 # --- the Porter2 algorithm for English, from its published description -------------------------------

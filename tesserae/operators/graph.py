@@ -1,9 +1,9 @@
 """Graph algorithms over edge DataFrames (src, dst[, weight]).
 
-Traversals, ranks, components and forests are loops of joins and partial aggregates, each round cut
-by a reliable checkpoint. Algorithms that follow one path at a time (depth-first search, A*, Yen's,
-Brandes' betweenness, Louvain's moves) run per source over a broadcast of the graph, whose size is
-checked: beyond MOST_EDGES they raise, but for those that have a distributed form to fall back on.
+Traversals, ranks, components and forests are loops of joins and partial aggregates, each round
+written to the shared folder, and its end decided by what was counted while it was written. Algorithms
+that follow one path at a time (depth-first search, A*, Yen's, Brandes' betweenness, Louvain's moves)
+run per source over a broadcast of the graph, whose size is checked: beyond MOST_EDGES they raise.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.plans.ir import EngineError
-from tesserae.storage import cut
+from tesserae.storage import counted, cut, discard
 
 #: Edges that a broadcast graph may have.
 MOST_EDGES = 5_000_000
@@ -63,22 +63,25 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
 def pagerank(edges: DataFrame, undirected: bool = False, theta: float = 0.85, epsilon: float = 1e-4, iterations: int = 10) -> DataFrame:
     """Rank (1 - theta) / n plus theta times what in-neighbours pass on; dangling ranks are not dealt out anew.
 
-    The edges keep one partitioning, by source, through all rounds.
+    A round is one aggregate over the edges, summed before its shuffle, and one job: how far ranks
+    moved is seen while they are written.
     """
     e = edges_of(edges, undirected).select("src", "dst")
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    e = cut(e.join(degree, "src").repartition("src"))
-    nodes = cut(nodes_of(e))
-    n = nodes.count()
+    e = cut(e.join(degree, "src"))
+    nodes, n = counted(nodes_of(e))
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = cut(nodes.withColumn("rank", F.lit(1.0 / n)))
-    for _ in range(iterations):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for i in range(iterations):
         passed = ranks.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        new = ranks.join(passed, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - theta) / n) + F.lit(theta) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.abs(F.lit((1 - theta) / n) + F.lit(theta) * F.coalesce("got", F.lit(0.0)) - F.col("rank")).alias("moved"))
-        new = cut(new)
-        ranks = new.select("node", "rank")
-        if new.agg(F.sum("moved")).first()[0] < epsilon:
+        got = F.lit((1 - theta) / n) + F.lit(theta) * F.coalesce("got", F.lit(0.0))
+        new = ranks.join(passed, F.col("node") == F.col("dst"), "left").select("node", got.alias("rank"), F.abs(got - F.col("rank")).alias("moved"))
+        new = cut(new, moved=F.sum("moved"))
+        if i:
+            discard(before)  # noqa: F821
+        before, ranks = new, new.select("node", "rank")
+        if new.seen["moved"] < epsilon:
             break
     return ranks
 
@@ -108,21 +111,33 @@ def clustering(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node reached. Large-star and small-star rounds."""
     e = edges_of(edges)
-    pairs = cut(e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    last = None
+    pairs = smallest_reached(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    found = pairs.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return nodes_of(e, nodes).join(found, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_v", "node").alias("component"))
+
+
+def smallest_reached(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(u, v): for each node of links(a, b) but the smallest of its component, that smallest one.
+
+    Alternating large-star and small-star steps. Each is an aggregate (combined before the shuffle)
+    joined back by node, a join whose large partitions Spark may split, so hubs do no harm.
+    """
+    pairs = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last, rounds = None, 0
     while True:
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("w"), "m")
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(floor, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(floor.select(F.col("w"), F.col("m"))).distinct()
-        pairs = cut(small)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = cut(small, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        discard(pairs)
+        pairs, now, rounds = new, (new.seen["n"], new.seen["h"]), rounds + 1
         if now == last:
-            break
+            return pairs
+        if rounds == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         last = now
-    found = pairs.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    return nodes_of(e, nodes).join(found, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_v", "node").alias("component"))
 
 
 def strongly_connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -136,8 +151,8 @@ def strongly_connected_components(edges: DataFrame, nodes: DataFrame | None = No
         while True:
             inner = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
             kept = cut(alive.join(inner, "node", "left_semi"))
-            alone = cut(alive.join(kept, "node", "left_anti"))
-            if alone.isEmpty():
+            alone, n_alone = counted(alive.join(kept, "node", "left_anti"))
+            if not n_alone:
                 break
             done.append(alone.select("node", F.col("node").alias("component")))
             alive = kept
@@ -147,9 +162,10 @@ def strongly_connected_components(edges: DataFrame, nodes: DataFrame | None = No
         colour = cut(alive.select("node", F.col("node").alias("c")))
         while True:
             sent = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("c").alias("m"))
-            new = cut(colour.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+            moved = F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")
+            new = cut(colour.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), moved), moved=F.count_if("moved"))
             colour = new.select("node", "c")
-            if new.where("moved").isEmpty():
+            if not new.seen["moved"]:
                 break
         shades = colour.withColumnsRenamed({"node": "n", "c": "k"})
         same = left.join(colour, F.col("src") == F.col("node")).drop("node").join(shades, (F.col("dst") == F.col("n")) & (F.col("c") == F.col("k"))).select("src", "dst", "c")
@@ -158,8 +174,8 @@ def strongly_connected_components(edges: DataFrame, nodes: DataFrame | None = No
         frontier = reached
         while True:
             back = same.join(frontier.select(F.col("node").alias("n"), F.col("c").alias("k")), (F.col("dst") == F.col("n")) & (F.col("c") == F.col("k"))).select(F.col("src").alias("node"), "c").distinct()
-            frontier = cut(back.join(reached, ["node", "c"], "left_anti"))
-            if frontier.isEmpty():
+            frontier, n_frontier = counted(back.join(reached, ["node", "c"], "left_anti"))
+            if not n_frontier:
                 break
             reached = cut(reached.unionAll(frontier))
         done.append(reached.select("node", F.col("c").alias("component")))
@@ -183,9 +199,10 @@ def label_propagation(edges: DataFrame, undirected: bool = False, max_iter: int
     for _ in range(max_iter):
         votes = e.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).getField("label").alias("best"))
-        new = cut(labels.join(best, F.col("node") == F.col("src"), "left").select("node", F.coalesce("best", "label").alias("label"), F.col("label").alias("old")))
+        new = labels.join(best, F.col("node") == F.col("src"), "left").select("node", F.coalesce("best", "label").alias("label"), F.col("label").alias("old"))
+        new = cut(new, moved=F.count_if(F.col("label") != F.col("old")))
         labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
+        if not new.seen["moved"]:
             break
     return labels.select("label", "node")
 
@@ -195,8 +212,8 @@ def top_sort(edges: DataFrame) -> DataFrame:
     e = cut(edges_of(edges).select("src", "dst"))
     alive, left, level, found = cut(nodes_of(e)), e, 0, []
     while True:
-        free = cut(alive.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if free.isEmpty():
+        free, n_free = counted(alive.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if not n_free:
             break
         found.append(free.select("node", F.lit(level).alias("level")))
         alive = cut(alive.join(free, "node", "left_anti"))
@@ -212,15 +229,19 @@ def top_sort(edges: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
     """Numbers rows from 0 by `groups` and `order`: ranges of the sort order are numbered apart, and shifted by the counts before them."""
-    parts = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    parts = cut(parts)
+    return numbered_as_is(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order), out)
+
+
+def numbered_as_is(df: DataFrame, out: str) -> DataFrame:
+    """Numbers rows from 0 in the order in which they stand."""
+    parts = cut(df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first")).collect()  # a row for each partition
     at, shift = 0, []
     for r in sorted(sizes, key=lambda r: r["_p"]):
         shift.append((r["_p"], at - r["first"]))
         at += r["n"]
-    shifts = df.sparkSession.createDataFrame(shift, "_q int, _shift long") if shift else df.sparkSession.createDataFrame([], "_q int, _shift long")
-    return parts.join(shifts, F.col("_p") == F.col("_q")).withColumn(out, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_q", "_shift")
+    shifts = df.sparkSession.createDataFrame(shift, "_q int, _shift long")
+    return parts.join(F.broadcast(shifts), F.col("_p") == F.col("_q")).withColumn(out, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_q", "_shift")
 
 
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
@@ -231,8 +252,8 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     chosen = e.limit(0)
     while True:
         ca, cb = comp.select(F.col("node").alias("na"), F.col("c").alias("ca")), comp.select(F.col("node").alias("nb"), F.col("c").alias("cb"))
-        out = cut(e.join(ca, F.col("a") == F.col("na")).join(cb, F.col("b") == F.col("nb")).where("ca <> cb").select("a", "b", "weight", "ca", "cb"))
-        if out.isEmpty():
+        out, n_out = counted(e.join(ca, F.col("a") == F.col("na")).join(cb, F.col("b") == F.col("nb")).where("ca <> cb").select("a", "b", "weight", "ca", "cb"))
+        if not n_out:
             break
         sides = out.select(F.col("ca").alias("c"), "a", "b", "weight").unionAll(out.select("cb", "a", "b", "weight"))
         best = sides.groupBy("c").agg(F.min(F.struct("weight", "a", "b")).alias("m")).select("m.a", "m.b", "m.weight").distinct()
@@ -266,9 +287,9 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame | None =
         else:
             merged = best.unionAll(step).groupBy("start", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("start", "node", "m.cost", "m.path")
         merged = cut(merged)
-        frontier = cut(merged.join(best, ["start", "node", "cost", "path"], "left_anti"))
+        frontier, n_frontier = counted(merged.join(best, ["start", "node", "cost", "path"], "left_anti"))
         best = merged
-        if frontier.isEmpty():
+        if not n_frontier:
             break
     out = best.select("start", F.col("node").alias("end"), "cost", "path")
     if ends is None:
@@ -295,8 +316,8 @@ def breadth_first(edges: DataFrame, nodes: DataFrame, starts: DataFrame, conditi
     frontier, found = seen, None
     while True:
         step = frontier.join(e, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, n_frontier = counted(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if not n_frontier:
             break
         seen = cut(seen.unionAll(frontier))
         hits = cut(frontier.join(goals, F.col("node") == F.col("goal")).select("start", "goal", "path"))
@@ -311,13 +332,26 @@ def breadth_first(edges: DataFrame, nodes: DataFrame, starts: DataFrame, conditi
     return found.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).select("start", "goal", "path")
 
 
+def distances(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, cost over edges_of(): as shortest_paths(), without the paths."""
+    e = cut(e.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    best = cut(one(starts, "start").select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fell")))
+    while True:
+        step = best.where("fell").join(e, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
+        both = best.select("start", "node", "cost").join(step, ["start", "node"], "full")
+        fell = F.col("cost").isNull() | F.coalesce(F.col("new") < F.col("cost"), F.lit(False))
+        new = cut(both.select("start", "node", F.when(fell, F.col("new")).otherwise(F.col("cost")).alias("cost"), fell.alias("fell")), fell=F.count_if("fell"))
+        discard(best)
+        best = new
+        if not new.seen["fell"]:
+            return best.select("start", "node", "cost")
+
+
 def closeness_centrality(edges: DataFrame, undirected: bool = False) -> DataFrame:
     """node, c = reached^2 / sum of distances / (n - 1); reached counts the node itself."""
     e = edges_of(edges, undirected)
-    nodes = cut(nodes_of(e))
-    n = nodes.count()
-    d = shortest_paths(e, nodes)
-    s = d.groupBy("start").agg(F.count(F.lit(1)).alias("k"), F.sum("cost").alias("sum"))
+    nodes, n = counted(nodes_of(e))
+    s = distances(e, nodes).groupBy("start").agg(F.count(F.lit(1)).alias("k"), F.sum("cost").alias("sum"))
     c = F.when((F.col("sum") > 0) & F.lit(n > 1), F.col("k") * F.col("k") / F.col("sum") / F.lit(float(max(n - 1, 1)))).otherwise(F.lit(0.0))
     return s.select(F.col("start").alias("node"), c.alias("c"))
 
@@ -597,9 +631,7 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     while True:
         hops += 1
         step = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
+        frontier, n = counted(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops)))
+        if not n:
             return seen
-        seen = cut(seen.unionAll(frontier))
-
-
+        seen = seen.unionAll(frontier)  # files of one round each

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tesserae.functions.scalar import Compiler
-from tesserae.functions.text import analyzer
+from tesserae.functions.text import RUNS, analyzer, call_of, runs, terms_of
+from tesserae.functions.text import tokenizer as tokenizer_of
 from tesserae.plans import ir
 from tesserae.plans.ir import EngineError
-from tesserae.storage import cut
+from tesserae.storage import cut, spread
 
 
 def col(name: str):
@@ -92,28 +96,52 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, kind: str = "L2", radiu
 
 
 def postings(docs: DataFrame, tokenizer, filters: list) -> DataFrame:
-    """(token, key, tf, positions, starts, ends, total) for docs(key, text), one row for each token and key."""
+    """(token, key, tf, positions, starts, ends, total) for docs(key, text): a row for each token of each key, and one
+    without a token for each key with a text, so that the index itself says how many texts it holds."""
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("key", docs.schema["key"].dataType), T.StructField("tf", T.LongType()), *[T.StructField(n, ints) for n in ("positions", "starts", "ends")], T.StructField("total", T.LongType())])
 
     def run(batches):
-        import pandas as pd
-
-        analyse = analyzer(tokenizer, filters)
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                if text is None:
-                    continue
-                found: dict[str, list] = {}
-                ts = analyse(text)
-                for t in ts:
-                    found.setdefault(t.text, []).append(t)
-                rows += [(w, key, len(x), [t.position for t in x], [t.start for t in x], [t.end for t in x], len(ts)) for w, x in found.items()]
-            yield pd.DataFrame(rows, columns=["token", "key", "tf", "positions", "starts", "ends", "total"])
-
-    kind = docs.schema["key"].dataType
-    ints = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("key", kind), T.StructField("tf", T.LongType()), T.StructField("positions", ints), T.StructField("starts", ints), T.StructField("ends", ints), T.StructField("total", T.LongType())])
-    return docs.select("key", "text").mapInPandas(run, schema)
+        split, terms = tokenizer_of(tokenizer), terms_of(filters)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield rows_of(batch.filter(pc.is_valid(batch.column("text"))), split, terms)
+
+    def tokens_of(texts: list, split) -> tuple:
+        if (name := call_of(tokenizer)[0]) in RUNS:
+            return runs(name, texts)
+        found = [(t, i) for i, text in enumerate(texts) for t in split(text)]
+        place = np.array([(i, t.start, t.end, t.position) for t, i in found], np.int64).reshape(-1, 4)
+        return [t.text for t, _ in found], *place.T
+
+    def rows_of(batch, split, terms):
+        words, doc, start, end, position = tokens_of(batch.column("text").to_pylist(), split)
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        made = [terms(w) for w in coded.dictionary.to_pylist()]  # each distinct word goes through the filters once
+        flat = pa.array([x for m in made for x in m], pa.string()).dictionary_encode()
+        term, count = flat.indices.to_numpy(zero_copy_only=False), np.array([len(m) for m in made], np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        times = count[code]
+        place = np.repeat(np.arange(len(code)), times)
+        nth = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        code = term[(np.cumsum(count) - count)[code[place]] + nth].astype(np.int64) if len(place) else np.empty(0, np.int64)
+        doc, start, end, position = doc[place], start[place], end[place], position[place]
+        n = batch.num_rows
+        order = np.argsort(doc * (len(flat.dictionary) + 1) + code, kind="stable")
+        first = np.ones(len(order), bool)
+        first[1:] = (doc[order][1:] != doc[order][:-1]) | (code[order][1:] != code[order][:-1])
+        begins = np.flatnonzero(first)
+        at = order[begins]
+        offsets = pa.array(np.concatenate([begins, np.full(n + 1, len(order))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (position, start, end)]
+        token = pa.concat_arrays([flat.dictionary.take(pa.array(code[at])), pa.nulls(n, pa.string())])
+        key = batch.column("key").take(pa.array(np.concatenate([doc[at], np.arange(n)])))
+        tf = np.concatenate([np.diff(np.append(begins, len(order))), np.zeros(n, np.int64)])
+        total = np.bincount(doc, minlength=n)
+        return pa.RecordBatch.from_arrays([token, key, pa.array(tf), *lists, pa.array(np.concatenate([total[doc[at]], total]))], names=schema.names)
+
+    return spread(docs.select("key", "text")).mapInArrow(run, schema)
 
 
 FTS_TOKEN = re.compile(r'\s+|(?P<near>NEAR(?:/(?P<n>\d+))?\s*\()|(?P<quoted>"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|(?P<op>[(),;*])|\^(?P<boost>\d+(?:\.\d*)?)|(?P<word>\w+)')
@@ -215,7 +243,7 @@ def analysed(node, analyse):
 
 
 def full_text(index: DataFrame, n_docs: int, query, analyse, k: int | None, kind: str = "tf_idf") -> DataFrame:
-    """(key, score): index is postings(); only the rows of the query's tokens leave the scan."""
+    """(key, score): index is postings(); only the rows of the query's tokens leave the scan, with positions for NEAR alone."""
     texts = [query] if isinstance(query, str) else list(query)
     trees = [analysed(TextQuery(t).parse(), analyse) for t in texts if t.strip()]
 
@@ -224,13 +252,17 @@ def full_text(index: DataFrame, n_docs: int, query, analyse, k: int | None, kind
             return tf * boost
         return tf * F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - n + 0.5) / (n + 0.5)) * boost
 
-    def literal(node):
+    def literal(node, *also):
         _, word, prefix, boost = node
-        hit = index.where(F.col("token").startswith(word) if prefix else F.col("token") == word)
-        rows = hit.groupBy("key").agg(F.max(F.struct("token", "tf", "positions")).alias("m")).select("key", "m.tf", "m.positions")
+        if prefix:
+            hit = index.where(F.col("token").startswith(word))
+            rows = hit.groupBy("key").agg(F.max(F.struct("token", "tf", *also)).alias("m")).select("key", "m.tf", *[f"m.{c}" for c in also])
+        else:
+            hit = index.where(F.col("token") == word)
+            rows = hit.select("key", "tf", *also)
         found = hit.agg(F.count(F.lit(1)).cast("double").alias("n"))
         rows = rows.crossJoin(F.broadcast(found))  # one row
-        return rows.select("key", weight(F.col("tf").cast("double"), F.col("n"), F.lit(boost)).alias("score"), "positions")
+        return rows.select("key", weight(F.col("tf").cast("double"), F.col("n"), F.lit(boost)).alias("score"), *also)
 
     def scored(node) -> DataFrame:
         if node[0] == "literal":
@@ -249,7 +281,7 @@ def full_text(index: DataFrame, n_docs: int, query, analyse, k: int | None, kind
             return scored(node[1]).join(scored(node[2]).select("key"), "key", "left_anti")
         rows = None
         for x in node[1]:
-            p = literal(("literal", x[1], x[2], 1.0)).select("key", "positions")
+            p = literal(("literal", x[1], x[2], 1.0), "positions").select("key", "positions")
             if rows is None:
                 rows = p
                 continue
@@ -305,7 +337,7 @@ def band_hashes(items: DataFrame, n_perm: int, b: int, r: int, n_gram: int, toke
                     bands.append(xxhash.xxh3_64_intdigest(i.to_bytes(4, "little") + least[i * r : (i + 1) * r].tobytes()) - (1 << 63))
             yield pd.DataFrame({"key": keys, "band": bands})
 
-    return items.select("key", "value").mapInPandas(run, T.StructType([T.StructField("key", kind), T.StructField("band", T.LongType())]))
+    return spread(items.select("key", "value")).mapInPandas(run, T.StructType([T.StructField("key", kind), T.StructField("band", T.LongType())]))
 
 
 def sharing_bands(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -336,16 +368,77 @@ def lsh_shape(config: dict) -> tuple[int, int, int, int]:
     return n, b, r, int(config.get("n_gram", 1))
 
 
-def index_rows(r, kind: str, config: dict) -> DataFrame:
+def vectors_of(r, config: dict) -> DataFrame:
+    """(key, field, idx, vector): a row for each vector of the indexed fields; idx is its place in a list of vectors."""
+    df = r.df.where(Compiler(r.df).column(config["filter"])) if "filter" in config else r.df
+    out = None
+    for f in config["fields"]:
+        several = isinstance(df.schema[f].dataType, T.ArrayType) and isinstance(df.schema[f].dataType.elementType, T.ArrayType)
+        each = [F.posexplode(col(f)).alias("idx", "vector")] if several else [F.lit(None).cast("int").alias("idx"), col(f).alias("vector")]
+        part = df.select(key_struct(r).alias("key"), F.lit(f).alias("field"), *each).where("vector is not null")
+        part = part.select("key", "field", F.col("idx").cast("long").alias("idx"), F.col("vector").cast("array<double>").alias("vector"))
+        out = part if out is None else out.unionAll(part)
+    fits = F.size("vector") == int(config["dim"])
+    return out.withColumn("vector", F.when(fits, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has {config['dim']} elements")).cast("array<double>")))
+
+
+def entries(r, kind: str, config: dict) -> DataFrame:
+    """What an index stores of a relation's rows."""
+    if kind == "normal":
+        return r.df.select(*[col(c) for c in dict.fromkeys([*config["columns"], *r.key_names])])
+    if kind == "hnsw":
+        return vectors_of(r, config)
+    if kind == "fts":
+        return postings(extracted(r, config).withColumnRenamed("value", "text"), config["tokenizer"], config["filters"])
+    n, b, rr, g = lsh_shape(config)
+    return band_hashes(extracted(r, config), n, b, rr, g, config["tokenizer"], config["filters"])
+
+
+#: What an index's files are sorted by, so that a scan skips pages that hold other values.
+SORTED_BY = {"fts": ["token"], "lsh": ["band"], "hnsw": []}
+
+
+def arranged(df: DataFrame, kind: str, config: dict) -> DataFrame:
+    by = config["columns"] if kind == "normal" else SORTED_BY[kind]
+    return df.sortWithinPartitions(*[col(c) for c in by]) if by else df
+
+
+def changed(stored: DataFrame, r, kind: str, config: dict, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """The stored rows after `new` rows of the relation came and `gone` ones went: only theirs are made anew."""
+    from dataclasses import replace
+
+    if kind == "normal":
+        return entries(r, kind, config)
+    keys = new.select(key_struct(r).alias("__key")).unionAll(gone.select(key_struct(r).alias("__key"))).distinct()
+    kept = stored.join(keys, F.col("key").eqNullSafe(F.col("__key")), "left_anti")
+    return kept.unionByName(entries(replace(r, df=new), kind, config).select(*stored.columns))
+
+
+def index_rows(r, index: str) -> DataFrame:
     """What an index holds, as a relation."""
+    kind, config = r.indices[index]
+    stored, keys = r.data[index], [F.col("key").getField(k).alias(f"src_{k}") for k in r.key_names]
     if kind == "fts":
-        p = postings(extracted(r, config).withColumnRenamed("value", "text"), config["tokenizer"], config["filters"])
-        return p.select(F.col("token").alias("word"), *[F.col("key").getField(k).alias(f"src_{k}") for k in r.key_names], F.col("starts").alias("offset_from"), F.col("ends").alias("offset_to"), F.col("positions").alias("position"), F.col("total").alias("total_length"))
+        return stored.where("token is not null").select(F.col("token").alias("word"), *keys, *[F.col(c).cast("array<long>").alias(n) for c, n in (("starts", "offset_from"), ("ends", "offset_to"), ("positions", "position"))], F.col("total").alias("total_length"))
     if kind == "lsh":
-        n, b, rr, g = lsh_shape(config)
-        bands = band_hashes(extracted(r, config), n, b, rr, g, config["tokenizer"], config["filters"])
-        return bands.select(F.col("band").alias("hash"), *[F.col("key").getField(k).alias(f"src_{k}") for k in r.key_names])
-    return r.df
+        return stored.select(F.col("band").alias("hash"), *keys)
+    return stored.select(*keys, "field", "idx", "vector") if kind == "hnsw" else stored
+
+
+def text_hits(index: DataFrame, asked: DataFrame, config: dict, k: int | None, kind: str) -> DataFrame | None:
+    """(q, key, score) for each text of asked(q). A query's text decides its plan; plans are made and run some at a time."""
+    n = index.where("token is null").count()
+    analyse = analyzer(config["tokenizer"], config["filters"])
+    texts, found = asked.toLocalIterator(), None
+    while group := list(itertools.islice(texts, 64)):
+        part = None
+        for row in group:
+            hits = full_text(index, n, row["q"], analyse, k, kind)
+            hits = hits.select(F.lit(row["q"]).alias("q") if isinstance(row["q"], str) else F.array(*map(F.lit, row["q"])).alias("q"), "key", "score")
+            part = hits if part is None else part.unionAll(hits)
+        part = cut(part) if len(group) > 1 else part
+        found = part if found is None else found.unionAll(part)
+    return found
 
 
 def search_atom(catalog, atom: ir.SearchAtom, rows: DataFrame, constants) -> DataFrame:
@@ -356,6 +449,7 @@ def search_atom(catalog, atom: ir.SearchAtom, rows: DataFrame, constants) -> Dat
     if not r.keys:
         raise EngineError("search::keys", f"{atom.relation} is searched by its keys, and declares none")
     kind, config = r.indices[atom.index]
+    stored = r.data[atom.index]
     options = dict(atom.options)
     if "query" not in options:
         raise EngineError("search::query", "a search has a query")
@@ -369,50 +463,58 @@ def search_atom(catalog, atom: ir.SearchAtom, rows: DataFrame, constants) -> Dat
     binds = {o: options[o].name for o in options if o.startswith("bind_")}
     query = c.value(options["query"])
     asked = rows.select(query.col.alias("q")).where("q is not null").distinct()
-    found = None
+
+    def passing(full: DataFrame) -> DataFrame:
+        """The rows that meet the filter, which sees the atom's variables and the relation's columns."""
+        named = {e.name: name for name, e in atom.named if isinstance(e, ir.Var)}
+        view = full.select("*", *[col(n).alias(v) for v, n in named.items() if v not in full.columns])
+        return view.where(Compiler(view).column(test)).select(*full.columns)
+
+    down, extra, radius = False, [], None
     if kind == "hnsw":
         if k is None:
             raise EngineError("search::k", "a vector search has a k")
-        fields = config["fields"]
-        for f in fields:
-            hits = nearest(asked.select(F.struct("q").alias("qid"), F.col("q").alias("vector")), base.select(key_struct(r).alias("key"), col(f).alias("vector")), 10**9 if test is not None and number("ef") is None else max(k, number("ef") or k) if test is not None else k, config["distance"])
-            hits = hits.select(F.col("qid.q").alias("q"), "key", F.col("distance").alias("score"), F.lit(f).alias("field"))
-            found = hits if found is None else found.unionAll(hits)
-        down, score, radius = False, "bind_distance", number("radius")
+        if test is not None:  # search among the rows that pass: the k nearest of them, not those of the k nearest that pass
+            stored = stored.join(passing(base).select(key_struct(r).alias("__key")), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
+        places = stored.select(F.struct("key", "field", "idx").alias("key"), "vector")
+        hits = nearest(asked.select(F.struct("q").alias("qid"), F.col("q").alias("vector")), places, k, config["distance"])
+        found = hits.select(F.col("qid.q").alias("q"), F.col("key.key").alias("key"), F.col("distance").alias("score"), F.col("key.field").alias("field"), F.col("key.idx").alias("idx"))
+        extra, radius = ["field", "idx"], number("radius")
     elif kind == "fts":
-        texts = extracted(r, config).withColumnRenamed("value", "text")
-        index = cut(postings(texts, config["tokenizer"], config["filters"]))
-        n = texts.where("text is not null").count()
-        analyse = analyzer(config["tokenizer"], config["filters"])
-        for row in asked.collect():  # texts of queries: a program's own
-            hits = full_text(index, n, row["q"], analyse, None if test is not None else k, number("score_kind", "tf_idf"))
-            hits = hits.select(F.lit(row["q"]).alias("q") if isinstance(row["q"], str) else F.array(*map(F.lit, row["q"])).alias("q"), "key", "score")
-            found = hits if found is None else found.unionAll(hits)
-        down, score, radius = True, "bind_score", None
-    else:
+        found, down = text_hits(stored, asked, config, None if test is not None else k, number("score_kind", "tf_idf")), True
+    elif kind == "lsh":
         n, b, rr, g = lsh_shape(config)
-        index = band_hashes(extracted(r, config), n, b, rr, g, config["tokenizer"], config["filters"])
         mine = band_hashes(asked.select(F.struct("q").alias("key"), F.col("q").alias("value")), n, b, rr, g, config["tokenizer"], config["filters"])
-        found = sharing_bands(mine, index).select(F.col("qid.q").alias("q"), "key", F.lit(0.0).alias("score"))
-        down, score, radius = False, "", None
+        found = sharing_bands(mine, stored).select(F.col("qid.q").alias("q"), "key", F.lit(0.0).alias("score"))
+    else:
+        raise EngineError("query::search", f"{atom.index} is not an index for searches")
     if found is None:
-        found = rows.sparkSession.createDataFrame([], T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("key", base.select(key_struct(r).alias("k")).schema["k"].dataType), T.StructField("score", T.DoubleType())]))
-    hits = found.select("q", F.col("score").alias("__score"), *[F.col(x).alias("__field") for x in ("field",) if x in found.columns], *[F.col("key").getField(n).alias(f"__k_{n}") for n in r.key_names])
-    on = F.lit(True)
-    for n in r.key_names:
-        on = on & col(n).eqNullSafe(col(f"__k_{n}"))
-    full = hits.join(base, on).drop(*[f"__k_{n}" for n in r.key_names])
-    if test is not None:
-        named = {e.name: name for name, e in atom.named if isinstance(e, ir.Var)}
-        view = full.select("*", *[col(n).alias(v) for v, n in named.items() if v not in full.columns])
-        full = view.where(Compiler(view).column(test)).select(*full.columns)
+        found = rows.sparkSession.createDataFrame([], T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("key", stored.schema["key"].dataType), T.StructField("score", T.DoubleType())]))
+    hits = found.select("q", F.col("score").alias("__score"), *[F.col(x).alias(f"__{x}") for x in extra], *[F.col("key").getField(n).alias(f"__k_{n}") for n in r.key_names])
+    wanted = {n for n, _ in atom.named} | ({"", *config.get("fields", [])} if "bind_vector" in binds else set()) | ({""} if test is not None else set())
+    if wanted <= set(r.key_names):  # the hits know all that is asked for
+        full = hits.withColumnsRenamed({f"__k_{n}": n for n in r.key_names})
+    else:
+        on = F.lit(True)
+        for n in r.key_names:
+            on = on & col(n).eqNullSafe(col(f"__k_{n}"))
+        full = hits.join(base, on).drop(*[f"__k_{n}" for n in r.key_names])
+    if test is not None and kind != "hnsw":
+        full = passing(full)
     if k is not None:
-        w = Window.partitionBy("q").orderBy(F.desc("__score") if down else F.asc("__score"), *[col(n) for n in r.key_names])
+        w = Window.partitionBy("q").orderBy(F.desc("__score") if down else F.asc("__score"), *[col(n) for n in r.key_names], *[F.col(f"__{x}") for x in extra])
         full = full.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k).drop("__i")
     if radius is not None:
         full = full.where(F.col("__score") <= F.lit(float(radius)))
+    if "bind_vector" in binds:
+        vector = None
+        for f in config["fields"]:
+            kind_of = full.schema[f].dataType.elementType
+            value = F.get(col(f), F.col("__idx").cast("int")) if isinstance(kind_of, T.ArrayType) else col(f)
+            vector = F.when(F.col("__field") == f, value) if vector is None else vector.when(F.col("__field") == f, value)
+        full = full.withColumn("__vec", vector)
     # names for the variables, equalities for what is bound or constant
-    out = full.select(F.col("q").alias("__q"), *[F.col(x) for x in ("__score", "__field") if x in full.columns], *[col(n).alias(f"__v{i}") for i, (n, _) in enumerate(atom.named)], *[col(f).alias("__vec") for f in (config.get("fields") or [])[:1]])
+    out = full.select(F.col("q").alias("__q"), *[F.col(x) for x in ("__score", "__field", "__idx", "__vec") if x in full.columns], *[col(n).alias(f"__v{i}") for i, (n, _) in enumerate(atom.named)])
     joined = rows.join(out, query.col == F.col("__q"))
     keep = list(rows.columns)
     for i, (_, e) in enumerate(atom.named):
@@ -423,11 +525,10 @@ def search_atom(catalog, atom: ir.SearchAtom, rows: DataFrame, constants) -> Dat
             keep.append(e.name)
         else:
             joined = joined.where(F.col(f"__v{i}").eqNullSafe(Compiler(joined).column(e)))
-    for option, source in (("bind_distance", "__score"), ("bind_score", "__score"), ("bind_field", "__field"), ("bind_vector", "__vec")):
+    for option, source in (("bind_distance", "__score"), ("bind_score", "__score"), ("bind_field", "__field"), ("bind_field_idx", "__idx"), ("bind_vector", "__vec")):
         if option in binds:
+            if source not in joined.columns:
+                raise EngineError("search::bind", f"{option} is of vector searches")
             joined = joined.withColumn(binds[option], F.col(source))
             keep.append(binds[option])
-    if "bind_field_idx" in binds:
-        joined = joined.withColumn(binds["bind_field_idx"], F.lit(None).cast("long"))
-        keep.append(binds["bind_field_idx"])
     return joined.select(*[col(n) for n in keep])

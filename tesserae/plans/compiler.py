@@ -17,9 +17,10 @@ from tesserae.plans.ir import EngineError
 from tesserae.plans.normalize import dnf, ordered
 from tesserae.plans.parser import constant
 from tesserae.plans.stratify import strata
-from tesserae.storage import cut
+from tesserae.storage import counted, cut
 
 FRESH = itertools.count()
+MOST_PARTS = 16
 
 
 def fresh(stem: str = "t") -> str:
@@ -39,6 +40,7 @@ class Context:
     search: Callable  # (atom, rows so far, context) -> DataFrame
     fixed: Callable  # (name, inputs, options, head) -> DataFrame
     keys: Callable = lambda name: None  # declared key columns of a relation, or None
+    covering: Callable = lambda name, bound, needed: None  # an index's rows that serve an atom as well, or None
     rules: dict[str, DataFrame] = field(default_factory=dict)
     most_epochs: int = 1000
     sets: frozenset = frozenset()  # fixed rules whose rows are distinct
@@ -88,8 +90,13 @@ def scanned(ctx: Context, atom, body: Body, override: dict | None) -> tuple[Data
     """The atom's rows with filters on constants applied; {variable: column}; other column-to-expression equalities."""
     df = sourced(ctx, atom, override)
     columns, rest, tests, kept = {}, [], [], {}
+    pairs = pairs_of(atom, df)
+    if isinstance(atom, ir.RelAtom) and atom.at is None:
+        constants = {n for n, e in pairs if not ir.variables(e) or isinstance(e, ir.Var) and e.name in body.constants}
+        used = {n for n, e in pairs if not (isinstance(e, ir.Var) and e.name == "_")}
+        df = ctx.covering(atom.name, constants, used) or df if constants else df
     c = Compiler(df)
-    for name, e in pairs_of(atom, df):
+    for name, e in pairs:
         if isinstance(e, ir.Var) and e.name == "_":
             continue
         if isinstance(e, ir.Var) and e.name in body.constants and (body.df is None or e.name not in body.df.columns):
@@ -355,7 +362,7 @@ def fixpoint(ctx: Context, group: list[str], rules: dict[str, list]) -> dict[str
             for n in pending:
                 total[n] = ctx.spark.createDataFrame([], T.StructType([T.StructField(str(i), T.StringType()) for i in range(len(heads[n]))]))
             break
-    delta = dict(total)
+    delta, grown = dict(total), dict.fromkeys(group, 0)
     schemas = {n: total[n].schema for n in group}
     for _ in range(ctx.most_epochs):
         fresh_rows = {}
@@ -374,18 +381,21 @@ def fixpoint(ctx: Context, group: list[str], rules: dict[str, list]) -> dict[str
             if n in meets:
                 merged = aligned(aggregated(total[n].union(aligned(reduced(n, new), schemas[n])), heads[n], list(total[n].columns), constant), schemas[n])
                 merged = cut(merged)
-                changed = cut(minus(merged, total[n]))
-                if not changed.isEmpty():
+                changed, n_changed = counted(minus(merged, total[n]))
+                if n_changed:
                     fresh_rows[n] = (changed, merged)
             else:
-                added = cut(minus(new.distinct(), total[n]))
-                if not added.isEmpty():
+                added, n_added = counted(minus(new, total[n]).distinct())  # what is known goes before it is shuffled
+                if n_added:
                     fresh_rows[n] = (added, None)
         if not fresh_rows:
             return total
         delta = {n: d for n, (d, _) in fresh_rows.items()}
         for n, (d, merged) in fresh_rows.items():
             total[n] = merged if merged is not None else total[n].union(d)
+            grown[n] = 0 if merged is not None else grown[n] + 1
+            if grown[n] == MOST_PARTS:  # one table again: a plan does not grow with the epochs
+                total[n], grown[n] = cut(total[n]), 0
     raise EngineError("eval::epochs", f"rules {group} did not settle in {ctx.most_epochs} epochs")
 
 

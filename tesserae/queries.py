@@ -2,61 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import graph, search
+from tesserae.operators import graph
+from tesserae.registry import ORACLE_SQL, QUERIES, plan, script
 from tesserae.session import Session
 
-TABLES = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": None, "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": None, "conversations": ["conv_id", "turn"]}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def opened(spark: SparkSession, sf_dir: str, script: str) -> Session:
-    """A session over the tables that a script names."""
-    db = Session(spark)
-    for name, keys in TABLES.items():
-        if f"*{name}" in script or f"~{name}:" in script or f" {name}:" in script:
-            db.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), keys)
-    return db
-
-
-def script(name: str, text: str, sql: str | None = None, columns: list[str] | None = None, setup: str | list | None = None) -> None:
-    """Register a query in the text language."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        steps = [setup] if isinstance(setup, str) else setup or []
-        db = opened(spark, sf_dir, text + " ".join(steps))
-        for s in steps:
-            db.run(s)
-        out = db.run(text)
-        return out.toDF(*columns) if columns else out
-
-    run.__name__ = name
-    QUERIES[name] = run
-    if sql:
-        ORACLE_SQL[name] = sql
-
-
-def plan(name: str, sql: str | None = None):
-    """Register a query written as a function of (tables, spark)."""
-
-    def wrap(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), spark)
-
-        run.__name__ = name
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return wrap
-
-
 # --- scans, projections, joins, sets --------------------------------------------------------------------
 
 FLAGSHIP = """
@@ -69,19 +21,19 @@ revenue[name, sum(rev)] := *lineitem{l_orderkey: o, l_extendedprice: p, l_discou
 script("revenue_by_nation", FLAGSHIP, "SELECT n_name AS name, round(sum(l_extendedprice * (1 - l_discount))) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 script("scan_filter_project", "?[k, total] := *orders{o_orderkey: k, o_totalprice: total, o_orderpriority: '1-URGENT'}, total > 200000", "SELECT DISTINCT o_orderkey AS k, o_totalprice AS total FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
 script("point_lookup", "?[name, bal] := *customer{c_custkey: 7, c_name: name, c_acctbal: bal}", "SELECT c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey = 7")
-script("prefix_scan", "?[k, name] := *part{p_partkey: k, p_name: name}, starts_with(name, 'Part_1')", "SELECT p_partkey AS k, p_name AS name FROM part WHERE starts_with(p_name, 'Part_1')")
+script("prefix_scan", "?[k, name] := *part{p_partkey: k, p_name: name}, starts_with(name, 'red')", "SELECT p_partkey AS k, p_name AS name FROM part WHERE starts_with(p_name, 'red')")
 script("constant_rule", "c[a, b] <- [[1, 'x'], [2, 'y'], [null, 'z']] ?[a, b] := c[a, b]", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x'), (2, 'y'), (NULL, 'z')) t(a, b)")
 script("join_equi", "?[c, o, total] := *customer{c_custkey: c, c_mktsegment: 'BUILDING'}, *orders{o_orderkey: o, o_custkey: c, o_totalprice: total}, total > 100000", "SELECT c_custkey AS c, o_orderkey AS o, o_totalprice AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000")
 script("join_self", "?[a, b] := *nation{n_nationkey: a, n_regionkey: r}, *nation{n_nationkey: b, n_regionkey: r}, a < b", "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
 script("join_cross_range", "?[r, s] := *region{r_regionkey: r}, *supplier{s_suppkey: s, s_acctbal: b}, b > r * 2000", "SELECT r_regionkey AS r, s_suppkey AS s FROM region CROSS JOIN supplier WHERE s_acctbal > r_regionkey * 2000")
-script("join_anti", "?[c] := *customer{c_custkey: c}, not *orders{o_custkey: c}", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+script("join_anti", "?[c] := *customer{c_custkey: c}, not *orders{o_custkey: c, o_orderpriority: '1-URGENT'}", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 script("join_anti_rule", "rich[c] := *customer{c_custkey: c, c_acctbal: b}, b > 5000 ?[c] := *customer{c_custkey: c}, not rich[c]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal <= 5000")
 script("join_semi", "?[c] := *customer{c_custkey: c}, *orders{o_custkey: c, o_totalprice: t}, t > 300000", "SELECT DISTINCT c_custkey AS c FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 script("join_nulls", "a[x] <- [[1], [null], [3]] b[x] <- [[null], [3]] ?[x] := a[x], b[x]", "SELECT * FROM (VALUES (CAST(NULL AS BIGINT)), (3)) t(x)")
 script("union_rules", "?[k, kind] := *customer{c_nationkey: k}, kind = 'c' ?[k, kind] := *supplier{s_nationkey: k}, kind = 's'", "SELECT c_nationkey AS k, 'c' AS kind FROM customer UNION SELECT s_nationkey, 's' FROM supplier")
 script("intersect_rules", "?[n] := *customer{c_nationkey: n, c_mktsegment: 'MACHINERY'}, *supplier{s_nationkey: n}", "SELECT c_nationkey AS n FROM customer WHERE c_mktsegment = 'MACHINERY' INTERSECT SELECT s_nationkey FROM supplier")
-script("except_rules", "?[n] := *nation{n_nationkey: n}, not *supplier{s_nationkey: n}", "SELECT n_nationkey AS n FROM nation EXCEPT SELECT s_nationkey FROM supplier")
-script("disjunction", "?[k] := *part{p_partkey: k, p_size: s, p_retailprice: p}, s == 1 or s > 48 and true or p > 2000".replace(" and true", ""), "SELECT p_partkey AS k FROM part WHERE p_size = 1 OR p_size > 48 OR p_retailprice > 2000")
+script("except_rules", "poor[n] := *supplier{s_nationkey: n, s_acctbal: b}, b < 1000 ?[n] := *nation{n_nationkey: n}, not poor[n]", "SELECT n_nationkey AS n FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 1000")
+script("disjunction", "?[k] := *part{p_partkey: k, p_size: s, p_retailprice: p}, s == 1 or s > 48 or p > 1090", "SELECT p_partkey AS k FROM part WHERE p_size = 1 OR p_size > 48 OR p_retailprice > 1090")
 script("negated_group", "?[k] := *part{p_partkey: k, p_size: s, p_retailprice: p}, not (s > 10, p > 1000)", "SELECT p_partkey AS k FROM part WHERE NOT (p_size > 10 AND p_retailprice > 1000)")
 script("unnest_in", "?[k, n] := *region{r_regionkey: k}, n in [k, k + 1, 9]", "SELECT DISTINCT r_regionkey AS k, unnest([r_regionkey, r_regionkey + 1, 9]) AS n FROM region")
 script("unification_filter", "?[k] := *nation{n_nationkey: k, n_regionkey: r}, r = k % 5", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey = n_nationkey % 5")
@@ -100,7 +52,7 @@ script("agg_unique", "u[n, unique(s)] := *customer{c_nationkey: n, c_mktsegment:
 script("agg_collect", "u[r, collect(k)] := *nation{n_nationkey: k, n_regionkey: r} ?[r, n, first] := u[r, l], n = length(l), first = first(l)", "SELECT n_regionkey AS r, count(*) AS n, min(n_nationkey) AS first FROM nation GROUP BY 1")
 script("agg_group_count", "g[n, group_count(s)] := *customer{c_nationkey: n, c_mktsegment: s} ?[n, s, k] := g[n, l], x in l, s = get(x, 0), k = get(x, 1)", "SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS k FROM customer GROUP BY 1, 2")
 script("agg_bool", "?[s, and(b), or(b)] := *orders{o_orderstatus: s, o_totalprice: t}, b = t > 1000", "SELECT o_orderstatus AS s, bool_and(o_totalprice > 1000) AS a, bool_or(o_totalprice > 1000) AS o FROM orders GROUP BY 1", ["s", "a", "o"])
-script("agg_latest_by", "?[c, latest_by(x)] := *orders{o_orderkey: k, o_custkey: c, o_orderdate: d}, x = [k, to_int(d) * 100000000 + k]".replace(" * 100000000 + k", ""), "SELECT o_custkey AS c, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1", ["c", "k"])
+script("agg_latest_by", "?[c, latest_by(x)] := *orders{o_orderkey: k, o_custkey: c, o_orderdate: d}, x = [k, to_int(d)]", "SELECT o_custkey AS c, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1", ["c", "k"])
 script("agg_smallest_by", "?[c, smallest_by(x)] := *orders{o_orderkey: k, o_custkey: c, o_totalprice: t}, x = [k, t]", "SELECT o_custkey AS c, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders GROUP BY 1", ["c", "k"])
 script("agg_min_cost", "m[c, min_cost(x)] := *orders{o_orderkey: k, o_custkey: c, o_totalprice: t}, x = [k, t] ?[c, k, t] := m[c, x], k = get(x, 0), t = get(x, 1)", "SELECT o_custkey AS c, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS k, min(o_totalprice) AS t FROM orders GROUP BY 1")
 script("agg_shortest_choice", "?[r, shortest(l), choice(k)] := *nation{n_nationkey: k, n_regionkey: r, n_name: n}, l = chars(n)", "SELECT r, array_to_string(string_split(n, ''), ',') AS l, k FROM (SELECT n_regionkey AS r, arg_min(n_name, (length(n_name), n_name)) AS n, min(n_nationkey) AS k FROM nation GROUP BY 1)", ["r", "l", "k"])
@@ -119,16 +71,20 @@ script("asof_scan", "?[u, e] := *history{u, e @ 1704800000000000}", "SELECT user
 
 # --- recursion --------------------------------------------------------------------------------------------
 
-EDGES = "e[a, b] := *events{event_id: i, user_id: x, event_type: t}, t == 'purchase', a = x % 40, b = (x * 7 + i) % 40, i < 400 "
-SQL_EDGES = "e AS (SELECT DISTINCT user_id % 40 AS a, (user_id * 7 + event_id) % 40 AS b FROM events WHERE event_type = 'purchase' AND event_id < 400)"
-script("recursion_transitive_closure", EDGES + "t[a, b] := e[a, b] t[a, c] := t[a, b], e[b, c] ?[a, b] := t[a, b]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t")
-script("recursion_bound", EDGES + "t[a, b] := e[a, b] t[a, c] := t[a, b], e[b, c] ?[b] := t[3, b]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT DISTINCT b FROM t")
-script("recursion_nonlinear", EDGES + "t[a, b] := e[a, b] t[a, c] := t[a, b], t[b, c] ?[a, b] := t[a, b]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t")
-script("recursion_mutual", EDGES + "odd[a, b] := e[a, b] odd[a, c] := even[a, b], e[b, c] even[a, c] := odd[a, b], e[b, c] ?[a, b] := even[a, b]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT a, b, 1 AS o FROM e UNION SELECT t.a, e.b, 1 - t.o FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a, b FROM t WHERE o = 0")
+#: Each turn of a conversation and the next one.
+TURNS = "e[a, b] := *conversations{conv_id: c, turn: t}, *conversations{conv_id: c, turn: u}, u == t + 1, a = c * 1000 + t, b = c * 1000 + u "
+SQL_TURNS = "e AS (SELECT DISTINCT x.conv_id * 1000 + x.turn AS a, y.conv_id * 1000 + y.turn AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+#: Suppliers and the parts that they sell; a key is one node, whether a supplier or a part has it, so there are cycles.
+SALES = "e[a, b] := *lineitem{l_suppkey: a, l_partkey: b} "
+SQL_SALES = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
+script("recursion_transitive_closure", TURNS + "t[a, b] := e[a, b] t[a, c] := t[a, b], e[b, c] ?[a, b] := t[a, b]", f"WITH RECURSIVE {SQL_TURNS}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t")
+script("recursion_bound", SALES + "t[a, b] := e[a, b] t[a, c] := t[a, b], e[b, c] ?[b] := t[3, b]", f"WITH RECURSIVE {SQL_SALES}, t AS (SELECT a, b FROM e WHERE a = 3 UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT DISTINCT b FROM t")
+script("recursion_nonlinear", TURNS + "t[a, b] := e[a, b] t[a, c] := t[a, b], t[b, c] ?[a, b] := t[a, b]", f"WITH RECURSIVE {SQL_TURNS}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t")
+script("recursion_mutual", TURNS + "odd[a, b] := e[a, b] odd[a, c] := even[a, b], e[b, c] even[a, c] := odd[a, b], e[b, c] ?[a, b] := even[a, b]", f"WITH RECURSIVE {SQL_TURNS}, t AS (SELECT a, b, 1 AS o FROM e UNION SELECT t.a, e.b, 1 - t.o FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a, b FROM t WHERE o = 0")
 script("recursion_same_generation", "p[c, q] := *nation{n_nationkey: k, n_regionkey: r}, c = k + 100, q = r sg[x, y] := p[x, q], p[y, q], x != y sg[x, y] := p[x, a], sg[a, b], p[y, b] ?[x, y] := sg[x, y]", "SELECT x.n_nationkey + 100 AS x, y.n_nationkey + 100 AS y FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey")
-script("recursion_negation", EDGES + "t[b] := e[3, b] t[c] := t[b], e[b, c] n[a] := e[a, _] ?[a] := n[a], not t[a]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT b FROM e WHERE a = 3 UNION SELECT e.b FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a FROM e WHERE a NOT IN (SELECT b FROM t)")
-script("recursion_min_hops", EDGES + "d[b, min(n)] := e[3, b], n = 1 d[c, min(n)] := d[b, m], e[b, c], n = m + 1 ?[b, n] := d[b, n]", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT b, CAST(1 AS BIGINT) AS n FROM e WHERE a = 3 UNION SELECT e.b, t.n + 1 FROM t JOIN e ON t.b = e.a WHERE t.n < 45) SELECT b, min(n) AS n FROM t GROUP BY 1")
-script("recursion_shortest", EDGES + "p[b, shortest(l)] := e[3, b], l = [3, b] p[c, shortest(l)] := p[b, m], e[b, c], l = append(m, c) ?[b, n] := p[b, l], n = length(l) - 1", f"WITH RECURSIVE {SQL_EDGES}, t AS (SELECT b, CAST(1 AS BIGINT) AS n FROM e WHERE a = 3 UNION SELECT e.b, t.n + 1 FROM t JOIN e ON t.b = e.a WHERE t.n < 45) SELECT b, min(n) AS n FROM t GROUP BY 1")
+script("recursion_negation", SALES + "t[b] := e[b, 3] t[c] := t[b], e[c, b] n[a] := e[a, _] n[b] := e[_, b] ?[a] := n[a], not t[a]", f"WITH RECURSIVE {SQL_SALES}, t AS (SELECT a AS b FROM e WHERE b = 3 UNION SELECT e.a FROM t JOIN e ON t.b = e.b) SELECT a FROM (SELECT a FROM e UNION SELECT b FROM e) WHERE a NOT IN (SELECT b FROM t)")
+script("recursion_min_hops", SALES + "d[b, min(n)] := e[3, b], n = 1 d[c, min(n)] := d[b, m], e[b, c], n = m + 1 ?[b, n] := d[b, n]", f"WITH RECURSIVE {SQL_SALES}, t AS (SELECT b, CAST(1 AS BIGINT) AS n FROM e WHERE a = 3 UNION SELECT e.b, t.n + 1 FROM t JOIN e ON t.b = e.a WHERE t.n < 12) SELECT b, min(n) AS n FROM t GROUP BY 1")
+script("recursion_shortest", SALES + "p[b, shortest(l)] := e[3, b], l = [3, b] p[c, shortest(l)] := p[b, m], e[b, c], l = append(m, c) ?[b, n] := p[b, l], n = length(l) - 1", f"WITH RECURSIVE {SQL_SALES}, t AS (SELECT b, CAST(1 AS BIGINT) AS n FROM e WHERE a = 3 UNION SELECT e.b, t.n + 1 FROM t JOIN e ON t.b = e.a WHERE t.n < 12) SELECT b, min(n) AS n FROM t GROUP BY 1")
 
 # --- scalar functions ----------------------------------------------------------------------------------------
 
@@ -139,26 +95,18 @@ script("string_functions", "?[k, u, n, s, p] := *part{p_partkey: k, p_name: x, p
 script("regex_functions", "?[k, m, r, a, f] := *part{p_partkey: k, p_name: x}, m = regex_matches(x, '[0-9]{3}'), r = regex_replace(x, '[0-9]', '#'), a = regex_replace_all(x, '[0-9]', '#'), f = regex_extract_first(x, '[0-9]+')", "SELECT p_partkey AS k, regexp_matches(p_name, '[0-9]{3}') AS m, regexp_replace(p_name, '[0-9]', '#') AS r, regexp_replace(p_name, '[0-9]', '#', 'g') AS a, nullif(regexp_extract(p_name, '[0-9]+'), '') AS f FROM part")
 script("list_functions", "?[k, a, b, c, d] := *nation{n_nationkey: k, n_regionkey: r}, l = [k, r, 3, k], a = length(union(l, [1])), b = get(sorted(l), -1), c = length(windows(l, 2)) + length(chunks(l, 3)), d = is_in(3, difference(l, [k])) ", "SELECT n_nationkey AS k, len(list_distinct([n_nationkey, n_regionkey, 3, n_nationkey, 1])) AS a, greatest(n_nationkey, n_regionkey, 3) AS b, 5 AS c, n_nationkey <> 3 AS d FROM nation")
 script("json_functions", "?[k, t] := *nation{n_nationkey: k, n_name: n}, j = {'name': n, 'k': k}, t = dump_json(j)", "SELECT n_nationkey AS k, '{\"k\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS t FROM nation")
-script("time_functions", "?[k, t] := *orders{o_orderkey: k, o_orderdate: d}, k < 200, t = round(to_float(d))", "SELECT o_orderkey AS k, round(epoch_us(o_orderdate) / 1e6) AS t FROM orders WHERE o_orderkey < 200")
+script("time_functions", "?[k, t] := *orders{o_orderkey: k, o_orderdate: d}, t = round(to_float(d))", "SELECT o_orderkey AS k, round(epoch_us(o_orderdate) / 1e6) AS t FROM orders")
 script("vector_functions", "?[k, a, b] := *embeddings{vec_id: k, embedding: v}, *embeddings{vec_id: 0, embedding: w}, a = round(l2_dist(v, w) * 1000), b = round(cos_dist(v, w) * 1000)", "SELECT x.vec_id AS k, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) * 1000) AS a, round((1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])) * 1000) AS b FROM embeddings x, embeddings y WHERE y.vec_id = 0")
 script("conversion_functions", "?[k, a, b, c] := *nation{n_nationkey: k, n_name: n}, a = to_string(k), b = to_int(to_float(a) * 1.5), c = to_unity(k % 2)", "SELECT n_nationkey AS k, n_nationkey::VARCHAR AS a, trunc(n_nationkey * 1.5)::BIGINT AS b, (n_nationkey % 2)::BIGINT AS c FROM nation")
 
-# --- search ----------------------------------------------------------------------------------------------------
-
-for _kind, _sql in (("L2", "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))"), ("IP", "1 - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])"), ("Cosine", "1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])")):
-    script(f"knn_{_kind.lower()}", "?[q, k, d] := *embeddings{vec_id: q, embedding: v}, q % 100 == 0, ~embeddings:near{vec_id: k | query: v, k: 5, bind_distance: x}, d = abs(round(x * 10000))", f"SELECT q, k, abs(round(d * 10000)) AS d FROM (SELECT y.vec_id AS q, x.vec_id AS k, {_sql} AS d, row_number() OVER (PARTITION BY y.vec_id ORDER BY {_sql}, x.vec_id) AS i FROM embeddings x, embeddings y WHERE y.vec_id % 100 = 0) WHERE i <= 5", setup=f"::hnsw create embeddings:near {{dim: 64, fields: [embedding], distance: {_kind}}}")
-script("fts_tf_idf", "?[k, s] := ~documents:words{doc_id: k | query: 'the AND with NOT onnt', bind_score: x}, s = round(x * 1000)", "WITH w AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents) GROUP BY 1, 2), n AS (SELECT t, count(*) AS n FROM w GROUP BY 1), s AS (SELECT doc_id, sum(tf * ln(1 + ((SELECT count(*) FROM documents WHERE text IS NOT NULL) - n + 0.5) / (n + 0.5))) AS s, count(*) AS c FROM w JOIN n USING (t) WHERE t IN ('the', 'with') GROUP BY 1) SELECT doc_id AS k, round(s * 1000) AS s FROM s WHERE c = 2 AND doc_id NOT IN (SELECT doc_id FROM w WHERE t = 'onnt')", setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
-script("fts_prefix_near", "?[k] := ~documents:words{doc_id: k | query: 'NEAR/3(the with) OR licen*'}", None, setup="::fts create documents:words {extractor: text, tokenizer: Simple, filters: [Lowercase]}")
-script("lsh_search", "?[q, k] := *documents{doc_id: q, text: t}, q % 100 == 0, ~documents:near{doc_id: k | query: t}", None, setup="::lsh create documents:near {extractor: text, tokenizer: Simple, filters: [Lowercase], n_gram: 5, n_perm: 128, target_threshold: 0.7}")
-
 # --- graphs ------------------------------------------------------------------------------------------------------
 
-SQL_G = "g AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_orderkey % 20 = 0)"
+SQL_G = "g AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)"
 
 
 def supply(t) -> DataFrame:
-    """Suppliers and classes of parts: a small graph with many nodes in one component."""
-    return t("lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b")).distinct()
+    """Suppliers and their parts; a key is one node, whether a supplier or a part has it."""
+    return t("lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
 @plan("graph_degree", f"WITH {SQL_G} SELECT node, count(*) AS total, sum(o)::BIGINT AS out, sum(i)::BIGINT AS \"in\" FROM (SELECT a AS node, 1 AS o, 0 AS i FROM g UNION ALL SELECT b, 0, 1 FROM g) GROUP BY 1")
@@ -186,9 +134,9 @@ def graph_pagerank(t, spark):
     return graph.pagerank(supply(t), epsilon=0.0, iterations=5).select("node", F.round(F.col("rank") * 1e7).alias("rank"))
 
 
-@plan("graph_triangles", f"WITH {SQL_G}, e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM g WHERE a <> b), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), d AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY 1), k AS (SELECT v, count(*) AS t FROM (SELECT unnest([a, b, c]) AS v FROM t) GROUP BY 1) SELECT d.v AS node, coalesce(t, 0) AS n_triangles, d AS degree FROM d LEFT JOIN k ON d.v = k.v")
+@plan("graph_triangles", f"WITH {SQL_G}, e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM g WHERE a <> b), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), d AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) GROUP BY 1), k AS (SELECT v, count(*) AS t FROM (SELECT unnest([a, b, c]) AS v FROM t) GROUP BY 1) SELECT d.v AS node, round(CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END * 1e6) AS cc, coalesce(t, 0) AS n_triangles, d AS degree FROM d LEFT JOIN k ON d.v = k.v")
 def graph_triangles(t, spark):
-    return graph.clustering(supply(t)).drop("cc")
+    return graph.clustering(supply(t)).withColumn("cc", F.round(F.col("cc") * 1e6))
 
 
 @plan("graph_expansion_2", f"WITH {SQL_G} SELECT DISTINCT y.b AS node FROM g x JOIN g y ON x.b = y.a WHERE x.a = 7")
@@ -216,24 +164,41 @@ def graph_dijkstra(t, spark):
     return graph.shortest_paths(weighted(t), t("nation").where("n_nationkey = 0").select("n_nationkey")).drop("path")
 
 
-@plan("graph_yen")
+SIMPLE_PATHS = f"{WEIGHTED}, p AS (SELECT 0 AS node, 0.0::DOUBLE AS cost, ['0'] AS path UNION ALL SELECT w.b, cost + w.w, list_append(path, w.b::VARCHAR) FROM p JOIN w ON p.node = w.a WHERE NOT list_contains(path, w.b::VARCHAR) AND len(path) < 12)"
+
+
+@plan("graph_yen", f"WITH RECURSIVE {SIMPLE_PATHS} SELECT start, \"end\", cost FROM (SELECT 0 AS start, node AS \"end\", cost, row_number() OVER (PARTITION BY node ORDER BY cost) AS i FROM (SELECT node, path, min(cost) AS cost FROM p GROUP BY 1, 2) WHERE node IN (9, 20)) WHERE i <= 3")
 def graph_yen(t, spark):
     n = t("nation").select("n_nationkey")
-    return graph.k_shortest_paths(weighted(t), n.where("n_nationkey = 0"), n.where("n_nationkey in (9, 20)"), 3).withColumn("path", F.array_join("path", ","))
+    return graph.k_shortest_paths(weighted(t), n.where("n_nationkey = 0"), n.where("n_nationkey in (9, 20)"), 3).drop("path")
+
 
+#: An edge is in the forest of least weight unless edges that come before it connect its ends.
+SQL_FOREST = f"WITH RECURSIVE {WEIGHTED}, u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM w WHERE a <> b GROUP BY 1, 2), r AS (SELECT u.a AS a, u.b AS b, u.w AS w, u.a AS node FROM u UNION SELECT r.a, r.b, r.w, CASE WHEN u.a = r.node THEN u.b ELSE u.a END FROM r JOIN u ON (u.w, u.a, u.b) < (r.w, r.a, r.b) AND r.node IN (u.a, u.b)) SELECT a AS \"from\", b AS \"to\", w AS cost FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = u.a AND r.b = u.b AND r.node = u.b)"
 
-@plan("graph_spanning_forest")
+
+@plan("graph_spanning_forest", SQL_FOREST)
 def graph_forest(t, spark):
     return graph.minimum_spanning_forest(weighted(t))
 
 
-@plan("graph_top_sort")
+@plan("graph_spanning_tree", SQL_FOREST)
+def graph_prim(t, spark):
+    db = Session(spark)
+    db.register("w", weighted(t))
+    return db.run("w[a, b, w] := *w{a, b, w} ?[a, b, c] <~ MinimumSpanningTreePrim(w[a, b, w])").toDF("from", "to", "cost")
+
+
+@plan("graph_top_sort", "SELECT n_nationkey::BIGINT AS idx, n_nationkey AS node FROM nation UNION ALL SELECT 25, 25")
 def graph_top_sort(t, spark):
-    n = t("nation").where("n_nationkey < 24")
-    return graph.top_sort(n.select("n_nationkey", (F.col("n_nationkey") + 1).alias("b")))
+    return graph.top_sort(t("nation").select("n_nationkey", (F.col("n_nationkey") + 1).alias("b")))
 
 
-@plan("graph_betweenness")
+#: All shortest paths, and for each inner node the share of its pair's paths that it lies on.
+SQL_BETWEENNESS = f"WITH RECURSIVE {WEIGHTED}, t AS (SELECT n_nationkey AS s, n_nationkey AS node, 0.0::DOUBLE AS cost, 0 AS n FROM nation UNION SELECT s, w.b, t.cost + w.w, n + 1 FROM t JOIN w ON t.node = w.a WHERE n < 9), d AS (SELECT s, node, min(cost) AS c FROM t GROUP BY 1, 2), p AS (SELECT n_nationkey AS s, n_nationkey AS node, 0.0::DOUBLE AS cost, [n_nationkey] AS path FROM nation UNION ALL SELECT p.s, w.b, p.cost + w.w, list_append(p.path, w.b) FROM p JOIN w ON p.node = w.a JOIN d ON d.s = p.s AND d.node = w.b AND d.c = p.cost + w.w), k AS (SELECT s, node, count(*) AS k FROM p GROUP BY 1, 2), i AS (SELECT v, 1.0::DOUBLE / k AS share FROM (SELECT s, node, unnest(path[2:-2]) AS v FROM p WHERE s <> node) JOIN k USING (s, node)) SELECT n_nationkey AS node, coalesce(round(sum(share), 6), 0) AS score FROM nation LEFT JOIN i ON v = n_nationkey GROUP BY 1"
+
+
+@plan("graph_betweenness", SQL_BETWEENNESS)
 def graph_betweenness(t, spark):
     return graph.betweenness_centrality(weighted(t)).withColumn("score", F.round("score", 6))
 
@@ -243,38 +208,56 @@ def graph_closeness(t, spark):
     return graph.closeness_centrality(weighted(t)).withColumn("c", F.round(F.col("c") * 1e6))
 
 
-@plan("graph_label_propagation")
+_votes = ", ".join(f"l{i} AS (SELECT l.node, coalesce(v.label, l.label) AS label FROM l{i - 1} l LEFT JOIN (SELECT a, arg_min(label, (-w, label)) AS label FROM (SELECT e.a, l.label, sum(e.w) AS w FROM e JOIN l{i - 1} l ON l.node = e.b GROUP BY 1, 2) GROUP BY 1) v ON v.a = l.node)" for i in range(1, 11))
+
+
+@plan("graph_label_propagation", f"WITH {WEIGHTED}, e AS (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w), l0 AS (SELECT n_nationkey AS node, n_nationkey AS label FROM nation), {_votes} SELECT label, node FROM l10")
 def graph_lpa(t, spark):
     return graph.label_propagation(weighted(t), undirected=True)
 
 
-@plan("graph_louvain")
+@plan("graph_louvain", "SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS community FROM nation")
 def graph_louvain(t, spark):
-    return graph.louvain(weighted(t), undirected=True).withColumn("labels", F.array_join("labels", ","))
+    """Nations of a region know each other well, and the next region's a little: the regions are the communities."""
+    n, k = t("nation"), F.col("n_nationkey")
+    other = n.toDF("b", "_name", "r")
+    edges = n.join(other, F.col("n_regionkey") == F.col("r")).where("n_nationkey < b").select(k.alias("a"), "b", F.lit(1.0).alias("w"))
+    edges = edges.unionAll(n.where("n_nationkey < 24").select(k, k + 1, F.lit(0.1)))
+    groups = graph.louvain(edges, undirected=True).select("node", F.element_at("labels", 1).alias("c"))
+    least = groups.groupBy("c").agg(F.min("node").alias("community"))
+    return groups.join(least, "c").select("node", "community")
 
 
-@plan("graph_random_walk")
+@plan("graph_random_walk", "SELECT n_nationkey AS start, 2::BIGINT AS walks, 10::BIGINT AS steps FROM nation")
 def graph_walk(t, spark):
-    return graph.random_walk(weighted(t), t("nation").select("n_nationkey"), 5, 2).withColumn("path", F.array_join("path", ","))
+    """From each node two walks of five steps, each step along an edge."""
+    edges = weighted(t)
+    walks = graph.random_walk(edges, t("nation").select("n_nationkey"), 5, 2)
+    steps = walks.select("walk_id", "start", F.posexplode("path").alias("i", "x"), "path").where(F.col("i") > 0).withColumn("before", F.element_at("path", F.col("i")))
+    along = steps.join(edges.select(F.col("a").alias("before"), F.col("b").alias("x")).distinct(), ["before", "x"])
+    return along.groupBy("start").agg(F.count_distinct("walk_id").alias("walks"), F.count(F.lit(1)).alias("steps"))
 
 
-@plan("graph_bfs_search")
+@plan("graph_bfs_search", f"WITH RECURSIVE {WEIGHTED}, p AS (SELECT 0 AS node, [0] AS path UNION ALL SELECT w.b, list_append(path, w.b) FROM p JOIN w ON p.node = w.a WHERE len(path) < 9), f AS (SELECT node, arg_min(path, (len(path), path)) AS path FROM p GROUP BY 1) SELECT 0 AS start, node AS goal, array_to_string(path, ',') AS path FROM f WHERE node > 20 ORDER BY len(path), path LIMIT 2")
 def graph_bfs_search(t, spark):
     n = t("nation").select("n_nationkey")
     return graph.breadth_first(weighted(t), n, n.where("n_nationkey = 0"), lambda d: d["n_nationkey"] > 20, 2).withColumn("path", F.array_join("path", ","))
 
 
-@plan("graph_dfs_search")
+@plan("graph_dfs_search", "SELECT 0 AS start, g AS goal, array_to_string(range(0, g + 1), ',') AS path FROM (VALUES (21), (22)) t(g)")
 def graph_dfs_search(t, spark):
-    n = t("nation").select("n_nationkey")
-    return graph.depth_first(weighted(t), n, n.where("n_nationkey = 0"), lambda d: d["n_nationkey"] > 20, 2).withColumn("path", F.array_join("path", ","))
+    """Along the edges to the next key, which an unlucky branch to a node without a goal leaves at every fifth."""
+    n, k = t("nation").select("n_nationkey"), F.col("n_nationkey")
+    edges = n.select(k, k + 1).unionAll(n.where(k % 5 == 0).select(k, k - 100))
+    return graph.depth_first(edges, n, n.where("n_nationkey = 0"), lambda d: d["n_nationkey"] > 20, 2).withColumn("path", F.array_join("path", ","))
 
 
 @plan("graph_a_star", f"WITH RECURSIVE {WEIGHTED}, t AS (SELECT 0 AS node, 0.0::DOUBLE AS cost, 0 AS n UNION SELECT w.b, t.cost + w.w, n + 1 FROM t JOIN w ON t.node = w.a WHERE n < 12) SELECT 0 AS start, node AS goal, min(cost) AS cost FROM t WHERE node IN (9, 20) GROUP BY 2")
 def graph_a_star(t, spark):
     n = t("nation").select("n_nationkey")
     goals = n.where("n_nationkey in (9, 20)")
-    h = n.crossJoin(goals.withColumnRenamed("n_nationkey", "goal")).select(F.col("n_nationkey").alias("node"), "goal", F.lit(0.0).alias("h"))
+    # no edge is cheaper than one: a bound for each node but the goal
+    h = n.crossJoin(goals.withColumnRenamed("n_nationkey", "goal")).select(F.col("n_nationkey").alias("node"), "goal", F.when(F.col("n_nationkey") == F.col("goal"), 0.0).otherwise(1.0).alias("h"))
     return graph.a_star(weighted(t), n.where("n_nationkey = 0"), goals, h).drop("path")
 
 
@@ -287,7 +270,11 @@ def graph_spbfs(t, spark):
 # --- stored relations ----------------------------------------------------------------------------------------------
 
 MAKE = "?[k, name, r] := *nation{n_nationkey: k, n_name: name, n_regionkey: r} :create n {k: Int => name: String, r: Int}"
-script("put_upsert", "?[k, name, r] := *n{k, name, r}", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey > 20 THEN 'new' ELSE n_name END AS name, n_regionkey::BIGINT AS r FROM nation UNION ALL SELECT 99, 'added', 1", setup=[MAKE, "?[k, name, r] := *nation{n_nationkey: k, n_regionkey: r}, k > 20, name = 'new' ?[k, name, r] <- [[99, 'added', 1]] :put n {k => name, r}".replace("?[k, name, r] <- [[99, 'added', 1]]", "c[k, name, r] <- [[99, 'added', 1]] ?[k, name, r] := c[k, name, r]")])
+script("put_upsert", "?[k, name, r] := *n{k, name, r}", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey > 20 THEN 'new' ELSE n_name END AS name, n_regionkey::BIGINT AS r FROM nation UNION ALL SELECT 99, 'added', 1", setup=[MAKE, "?[k, name, r] := *nation{n_nationkey: k, n_regionkey: r}, k > 20, name = 'new' c[k, name, r] <- [[99, 'added', 1]] ?[k, name, r] := c[k, name, r] :put n {k => name, r}"])
 script("rm_rows", "?[k, r] := *n{k, r}", "SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS r FROM nation WHERE n_regionkey <> 2", setup=[MAKE, "?[k] := *n{k, r: 2} :rm n {k}"])
 script("update_rows", "?[k, name, r] := *n{k, name, r}", "SELECT n_nationkey::BIGINT AS k, n_name AS name, CASE WHEN n_nationkey < 5 THEN 7 ELSE n_regionkey END::BIGINT AS r FROM nation", setup=[MAKE, "?[k, r] := *n{k}, k < 5, r = 7 :update n {k => r}"])
-script("imperative_loop", "{?[x] <- [[1]] :create _t {x}} %loop %if {?[count(x)] := *_t{x} ?[n] := n = 0, false} %then %break %end {?[x] := *_t{x: y}, x = y + 1, x < 6 :put _t {x}} %if {?[x] := *_t{x}, x == 5} %then %break %end %end %return {?[x] := *_t{x}}".replace(" %if {?[count(x)] := *_t{x} ?[n] := n = 0, false} %then %break %end", ""), "SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS x")
+script("imperative_loop", "{?[x] <- [[1]] :create _t {x}} %loop {?[x] := *_t{x: y}, x = y + 1, x < 6 :put _t {x}} %if {?[x] := *_t{x}, x == 5} %then %break %end %end %return {?[x] := *_t{x}}", "SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS x")
+
+from tesserae import queries_functions, queries_store  # noqa: E402, F401  they register theirs
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import threading
 import time
 import uuid
@@ -12,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalar import Compiler
+from tesserae.functions.scalar import Compiler, Val, as_json
 from tesserae.operators import search
 from tesserae.plans import fixed_rules, ir
 from tesserae.plans.compiler import Context, col, literal_rows, run_rules, shaped
@@ -70,6 +71,23 @@ class Session:
                 return self.imperative(what, read_only)
             return [self.program(what, read_only)]
 
+    def run_program(self, program: ir.Program, read_only: bool = False) -> DataFrame:
+        """Run a program that parse() gave."""
+        with self.lock, self.atomic():
+            return self.program(program, read_only)
+
+    def run_json(self, script: str, params: str = "{}", read_only: bool = False) -> str:
+        """Run a script with parameters as JSON; the result, or the error, as JSON. The rows are collected."""
+        began = time.time()
+        try:
+            result = self.run(script, json.loads(params) or None, read_only)
+            types = {f.name: f.dataType for f in result.schema.fields}
+            rows = [json.loads(r[0]) for r in result.select(F.to_json(F.array(*[as_json(Val(col(c), t)) for c, t in types.items()]))).collect()]
+            out = {"ok": True, "headers": result.columns, "rows": [[json.loads(v) for v in r] for r in rows]}
+        except Exception as error:  # of any kind: the caller reads text
+            out = {"ok": False, "display": str(error)[:2000], "code": getattr(error, "code", None)}
+        return json.dumps(out | {"took": time.time() - began}, ensure_ascii=False)
+
     @contextlib.contextmanager
     def atomic(self) -> Iterator[None]:
         """Versions are swapped at the end, or not at all; callbacks follow the outermost commit."""
@@ -104,7 +122,7 @@ class Session:
             r = self.catalog.relations.get(name)
             return r.key_names if r and r.keys else None
 
-        ctx = Context(self.spark, relation, lambda atom, rows, c: search.search_atom(self.catalog, atom, rows, constant), lambda rule: self.fixed(rule, ctx), keys, sets=fixed_rules.DISTINCT - self.custom.keys())
+        ctx = Context(self.spark, relation, lambda atom, rows, c: search.search_atom(self.catalog, atom, rows, constant), lambda rule: self.fixed(rule, ctx), keys, covering=self.catalog.covering, sets=fixed_rules.DISTINCT - self.custom.keys())
         ctx.rules.update(extra or {})
         return ctx
 
@@ -321,7 +339,8 @@ class Session:
         if verb == "drop":
             if index not in r.indices:
                 raise EngineError("query::no_index", f"{name} has no index {index}")
-            self.catalog.relations[name] = replace(r, indices={k: v for k, v in r.indices.items() if k != index})
+            without = lambda d: {k: v for k, v in d.items() if k != index}
+            self.catalog.relations[name] = replace(r, indices=without(r.indices), data=without(r.data))
             return
         if index in r.indices:
             raise EngineError("tx::exists", f"{name} has an index {index}")
@@ -332,7 +351,11 @@ class Session:
             config = {"columns": op[4]}
         else:
             config = self.analysis(kind, op[4])
-        self.catalog.relations[name] = replace(r, indices=r.indices | {index: ("normal" if kind == "index" else kind, config)})
+        kind = "normal" if kind == "index" else kind
+        if kind != "normal" and not r.keys:
+            raise EngineError("search::keys", f"{name} is searched by its keys, and declares none")
+        r = self.catalog.relations[name] = replace(r, indices=r.indices | {index: (kind, config)})
+        self.catalog.store_index(name, index, search.entries(r, kind, config))
 
     @staticmethod
     def analysis(kind: str, options: dict) -> dict:

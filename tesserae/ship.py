@@ -16,7 +16,7 @@ HERE = Path(__file__).resolve().parent
 def archive() -> str:
     path = Path(tempfile.mkdtemp(prefix="tesserae-ship-"), "tesserae.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(HERE.rglob("*.py")):
+        for p in sorted([*HERE.rglob("*.py"), *HERE.rglob("*.txt")]):
             z.write(p, p.relative_to(HERE.parent))
     return str(path)
 

@@ -117,7 +117,8 @@ class Relation:
     df: DataFrame
     level: str = "normal"
     triggers: tuple = ()  # (event, script)
-    indices: dict = field(default_factory=dict)
+    indices: dict = field(default_factory=dict)  # name -> (kind, config)
+    data: dict = field(default_factory=dict)  # name -> what the index stores
     view: bool = False
     path: str | None = None
 
@@ -191,13 +192,24 @@ class Catalog:
             return r.df
         if index not in r.indices:
             raise EngineError("query::no_index", f"{base} has no index {index}")
-        kind, config = r.indices[index]
-        if kind != "normal":
-            from tesserae.operators import search
+        from tesserae.operators import search
 
-            return search.index_rows(r, kind, config)
-        columns = list(dict.fromkeys([*config["columns"], *r.key_names]))
-        return r.df.select(*[col(c) for c in columns])
+        return search.index_rows(r, index)
+
+    def covering(self, name: str, bound: set, needed: set) -> DataFrame | None:
+        """The rows of an index that begins with a bound column and has all that is needed, if there is one."""
+        r = self.relations.get(name)
+        for index, (kind, config) in (r.indices if r else {}).items():
+            if kind == "normal" and config["columns"][0] in bound and needed <= {*config["columns"], *r.key_names}:
+                return r.data[index]
+        return None
+
+    def store_index(self, name: str, index: str, rows: DataFrame) -> None:
+        from tesserae.operators import search
+
+        r = self.relations[name]
+        rows, _ = self.write(f"{name}.{index}", search.arranged(rows, *r.indices[index]))
+        self.relations[name] = replace(r, data=r.data | {index: rows})
 
     def register(self, name: str, df: DataFrame, keys: list[str] | None = None) -> None:
         """A DataFrame as a read-only relation; without keys, its rows may repeat."""
@@ -262,7 +274,17 @@ class Catalog:
         return result.select(*out)
 
     def mutate(self, op: ir.RelationOp, result: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Run an operation; (relation's new rows, rows put, rows removed)."""
+        """Run an operation, and have the indices follow; (relation's new rows, rows put, rows removed)."""
+        from tesserae.operators import search
+
+        out = self.changed(op, result)
+        r = self.relations[op.name]
+        if op.op not in ("ensure", "ensure_not"):
+            for index, (kind, config) in r.indices.items():
+                self.store_index(op.name, index, search.changed(r.data[index], r, kind, config, out[1], out[2]))
+        return out
+
+    def changed(self, op: ir.RelationOp, result: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         now = int(time.time() * 1e6)
         old = self.relations.get(op.name)
         if op.op in ("create", "replace"):

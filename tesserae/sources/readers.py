@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.plans.ir import EngineError
+from tesserae.storage import new_path
 
 TYPES = {"Any": T.StringType(), "String": T.StringType(), "Uuid": T.StringType(), "Int": T.LongType(), "Float": T.DoubleType()}
 
@@ -25,8 +26,9 @@ def indexed(df: DataFrame, prepend: bool) -> DataFrame:
     """Numbers rows from 0 in the order of the file."""
     if not prepend:
         return df
-    schema = T.StructType([T.StructField("_index", T.LongType()), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    from tesserae.operators.graph import numbered_as_is
+
+    return numbered_as_is(df, "_index").select("_index", *df.columns)
 
 
 def read_csv(spark: SparkSession, url: str, types: list[str], delimiter: str = ",", has_headers: bool = True, prepend_index: bool = False) -> DataFrame:
@@ -52,7 +54,11 @@ def read_csv(spark: SparkSession, url: str, types: list[str], delimiter: str = "
 
 def read_json(spark: SparkSession, url: str, fields: list[str], json_lines: bool = True, null_if_absent: bool = False, prepend_index: bool = False) -> DataFrame:
     source = lines(spark, url)
-    df = spark.read.json(source.rdd.map(lambda r: r[0])) if isinstance(source, DataFrame) else spark.read.json(source, multiLine=not json_lines)
+    if isinstance(source, DataFrame):
+        path = new_path(spark, "fetched")
+        source.coalesce(1).write.text(path)
+        source = path
+    df = spark.read.json(source, multiLine=not json_lines)
     out = []
     for f in fields:
         if f in df.columns:
