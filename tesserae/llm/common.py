@@ -1,68 +1,29 @@
 """Pieces that several operators of this subpackage share.
 
-Shared storage, hashed words, distributed ranks and connected components.
+Hashed words, distributed ranks and connected components; written tables are the library's own.
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.operators.graph import smallest_reached
+from tesserae.storage import discard, materialise, new_path
+
 #: ASCII white space, the only separator of words in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 ARROW_BYTES = 8 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    if not spark.sparkContext._jsc or spark.sparkContext._jsc.sc().isStopped():
-        return
-    remove(spark, path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/tesserae/{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove_at_exit, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that survive lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._written_at)
+__all__ = ["ARROW_BYTES", "SPACE", "buckets_for", "components", "discard", "hash_words", "materialise", "mix", "new_path", "running_total", "small_batches", "split_words", "windows"]
 
 
 # --- words ---------------------------------------------------------------------------------------
@@ -162,31 +123,7 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of links(a, b): root is the smallest node that it reaches.
-
-    Alternating large-star and small-star steps. Each is an aggregate (combined before the shuffle)
-    joined back by node, a join whose large partitions Spark may split, so hubs do no harm. Each
-    round ends in a reliable checkpoint in the shared folder.
-    """
-    shared_dir(links.sparkSession)
-    sc = links.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(links.sparkSession))
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    last = None
-    for _ in range(most_rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("w"), "m")
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = large.join(floor, F.col("u") == F.col("w"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(floor.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = small.checkpoint()
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+    """(node, root) for each node of links(a, b): root is the smallest node that it reaches."""
+    pairs = smallest_reached(links, most_rounds)
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

@@ -1,18 +1,24 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model is an n-gram model over words. Its states are the contexts seen in training; an arc from a
-context over a word that followed it has the smoothed log-probability, and a failure arc leads to
-the context without its first word, at the cost of the context's backoff weight. One left-to-right
-traversal carries the state and adds up weights. At the root, absolute discounting (the discount
-estimated from how many words were seen once and twice) leaves the mass of one unknown word; above
-it, a context seen c times gives its lower order the weight mu / (c + mu), so that every state's
-probabilities sum to one.
-
-The model is never in one place. Documents are dealt into blocks of bounded size. A block asks for
+state over a word that followed it there has the smoothed log-probability and leads to the longest
+context that is then a state; a failure arc leads to the context without its first word, at the cost
+of the state's backoff weight. A text is read once from left to right: the state is carried from
+word to word, failure arcs are followed until a state has an arc over the word, and the weights are
+added up. At the root, absolute discounting (the discount estimated from how many words were seen
+once and twice) leaves the mass of one unknown word; above it, a context seen c times gives its
+lower order the weight mu / (c + mu), so that every state's probabilities sum to one.
+
+The model is never in one place. A task cuts its rows into blocks of bounded size. A block asks for
 the training counts of its distinct n-grams, by shards of hashed n-grams; each shard adds up what
-all blocks counted and answers every block; the block then builds the part of the automaton that
-its own texts can reach, and traverses it. A frequent n-gram costs one entry for each block.
-Shards hold hashes: 64 bits for words, 48 bits beside the shard for longer n-grams.
+all blocks counted and answers every block; the block then builds the states and arcs that its own
+texts can reach, and reads them. A frequent n-gram costs one entry for each block, and no key
+gathers rows of texts, however often a text is repeated. Shards hold hashes: 64 bits for words, 48
+bits beside the shard for longer n-grams.
+
+Blocks are cut twice, first to ask and then to score, and must hold the same rows in the same order,
+as those of a table's files do. A block whose n-grams are not those it asked for fails the job;
+`stable=False` writes the rows down first, for inputs that are computed anew each time.
 
 Nulls: a null text is empty: one end token. A null id counts as the empty text, so it is held out.
 Repeated rows count as often as they stand there, and get a row each. Without training rows each
@@ -23,24 +29,26 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import discard, hash_words, materialise, mix, split_words
+from tesserae.llm.common import hash_words, materialise, mix, small_batches, split_words
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
-    mu: tuple = (40.0, 4.0, 2.0)  # of contexts of one word, two words, ...
-    block_bytes: int = 8 << 20
+    order: int = 3
+    #: Of contexts of one word, two words, ...: what fit_mu() takes of 10 to 400 by 0.5 to 40, for the held-out tenth of sf0.01.
+    mu: tuple = (400.0, 0.5)
+    block_bytes: int = 8 << 20  # of text in a block; more where a corpus has very many blocks
     blocks_a_shard: int = 2
     folds: int = 10
     base_add: float = 0.1
@@ -115,12 +123,11 @@ def distinct(tokens, starts, k):
     return last, known, which
 
 
-ASK = "block long, shard long, k int, keys binary, low binary, high binary"
-ANSWER = "block long, shard long, k int, low binary, high binary, types long, tokens long, once long, twice long, docs long"
+ASK = "block string, shard long, k int, keys binary, low binary, high binary"
+ANSWER = "block string, shard long, k int, low binary, high binary, types long, tokens long, once long, twice long, docs long"
 
 
-def ask(table: pa.Table, settings: Settings, shards: int) -> pa.Table:
-    block = table.column("block")[0].as_py()
+def ask(block: str, table: pa.Table | pa.RecordBatch, settings: Settings, shards: int) -> pa.Table:
     tokens, starts = sequences(table)
     train = training(table.column("doc_id").to_pylist(), settings.folds)
     inside = np.repeat(train, np.diff(starts))
@@ -131,7 +138,7 @@ def ask(table: pa.Table, settings: Settings, shards: int) -> pa.Table:
         owner = shard_of(known, shards)
         cuts = np.searchsorted(owner, np.arange(shards + 1))
         rows += [(block, s, k, pack_keys(known[a:b], k), *pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-    return as_table(rows, ["block", "shard", "k", "keys", "low", "high"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+    return as_table(rows, ["block", "shard", "k", "keys", "low", "high"], [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
 def as_table(rows: list, names: list, types: list) -> pa.Table:
@@ -149,17 +156,17 @@ def answer(table: pa.Table) -> pa.Table:
         part = table.take(pa.array(at))
         counts = [unpack_counts(a, b) for a, b in zip(part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)]
         if k == 0:
-            rows.append((-1, shard, 0, b"", b"", 0, 0, 0, 0, int(sum(c.sum() for c in counts))))
+            rows.append((None, shard, 0, b"", b"", 0, 0, 0, 0, int(sum(c.sum() for c in counts))))
             continue
         keys = [unpack_keys(x, k) for x in part.column("keys").to_pylist()]
         sizes = np.cumsum([len(x) for x in keys])[:-1]
         known, which = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(which, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
         if k == 1:
-            rows.append((-1, shard, 1, b"", b"", int((sums > 0).sum()), int(sums.sum()), int((sums == 1).sum()), int((sums == 2).sum()), 0))
+            rows.append((None, shard, 1, b"", b"", int((sums > 0).sum()), int(sums.sum()), int((sums == 1).sum()), int((sums == 2).sum()), 0))
         for i, mine in zip(at.tolist(), np.split(which, sizes), strict=True):
             rows.append((blocks[i], shard, k, *pack_counts(sums[mine]), 0, 0, 0, 0, 0))
-    return as_table(rows, ["block", "shard", "k", "low", "high", "types", "tokens", "once", "twice", "docs"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 5)
+    return as_table(rows, ["block", "shard", "k", "low", "high", "types", "tokens", "once", "twice", "docs"], [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 5)
 
 
 @dataclass(frozen=True)
@@ -172,90 +179,166 @@ class Totals:
 
     @property
     def discount(self) -> float:
-        """Ney's estimate of the absolute discount."""
-        return self.once / (self.once + 2 * self.twice) if self.once else 0.5
+        """Ney's estimate of the absolute discount; a half where no word was seen once, or none twice."""
+        return self.once / (self.once + 2 * self.twice) if self.once and self.twice else 0.5
 
 
 class Automaton:
-    """The states that one block reaches: per order, arcs (n-grams) with counts; contexts with theirs."""
-
-    def __init__(self, totals: Totals, settings: Settings) -> None:
-        self.t, self.s = totals, settings
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        if not self.t.tokens:
-            return np.ones(len(counts))
-        d = self.t.discount
-        return np.where(counts > 0, (counts - d) / self.t.tokens, d * self.t.types / self.t.tokens)
-
-    def traverse(self, arcs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
-        """Log10 weight of each step.
-
-        arcs[k]: training count of the (k + 1)-gram that ends at the step, if its k-word context
-        exists (0 otherwise); contexts[k]: the count of that context (the state carried to the step
-        is the longest one with a count). A step follows failure arcs from its state down to the
-        first state with an arc over the word.
-        """
-        weight = np.log10(self.root(arcs[0]))
-        for k in range(1, len(arcs)):
-            mu, c = self.s.mu[k - 1], contexts[k]
-            is_state, has_arc = c > 0, arcs[k] > 0
-            failure = np.where(is_state, np.log10(mu / (c + mu)), 0.0)
-            arc = np.log10((arcs[k] + mu * 10.0**weight) / (c + mu), where=has_arc, out=np.zeros(len(c)))
-            weight = np.where(has_arc, arc, failure + weight)
-        return weight
+    """The states and arcs that one block's texts can reach, as arrays.
+
+    State 0 is the root, state 1 the beginning of a text, and each n-gram shorter than the order that
+    was seen in training is one more. `grams[k - 1]` are (last, which, counts) of the block's k-grams:
+    where they end, which distinct one that is, and how often training has it.
+    """
+
+    def __init__(self, size: int, starts: np.ndarray, grams: list, totals: Totals, settings: Settings) -> None:
+        n, t = settings.order, totals
+        #: for each order: at each place, the weight of the arc over its word (NaN: no arc), and the state it leads to
+        self.arc = np.full((n, size), np.nan)
+        self.to = np.zeros((n, size), np.int64)
+        fail, fail_weight, depth = [np.array([0, 0])], [np.array([0.0, self.backoff(t.docs, settings.mu[0]) if n > 1 else 0.0])], [np.array([0, 1])]
+        self.unknown = math.log10(t.discount * t.types / t.tokens) if t.tokens else 0.0
+        states = 2
+        self.begin = 1 if t.docs and n > 1 else 0
+        state_at = np.zeros(size, np.int64)  # of the (k - 1)-gram that ends at a place
+        count_at = np.full(size, t.tokens)
+        below = np.full(size, 10.0**self.unknown)  # probability of a place's word in the context of k - 2 words
+        for k, (last, which, counts) in enumerate(grams, 1):
+            seen = counts[which] > 0
+            at, c = last[seen], counts[which][seen].astype(float)
+            if k == 1:
+                p = (c - t.discount) / t.tokens if t.tokens else np.ones(len(at))
+            else:
+                before, mu = count_at[at - 1].astype(float), settings.mu[k - 2]
+                p = (c + mu * below[at]) / (before + mu)
+            below[at] = p
+            self.arc[k - 1, at] = np.log10(p)
+            if k == n:
+                self.to[k - 1, at] = state_at[at]
+                continue
+            # each distinct k-gram of training is a state; its failure arc goes to where its last k - 1 words are one
+            first = np.full(len(counts), -1, np.int64)
+            first[which[seen][::-1]] = at[::-1]
+            is_state = counts > 0
+            number = np.where(is_state, states - 1 + np.cumsum(is_state), 0)
+            fail.append(state_at[first[is_state]])
+            fail_weight.append(self.backoff(counts[is_state], settings.mu[k - 1]))
+            depth.append(np.full(int(is_state.sum()), k))
+            states += int(is_state.sum())
+            own, own_count = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            own[at], own_count[at] = number[which][seen], counts[which][seen]
+            if k == 1:
+                own[starts[:-1]], own_count[starts[:-1]] = self.begin, t.docs
+            self.to[k - 1, at] = own[at]
+            state_at, count_at = own, own_count
+        self.fail, self.fail_weight, self.depth = np.concatenate(fail).tolist(), np.concatenate(fail_weight).tolist(), np.concatenate(depth).tolist()
+
+    @staticmethod
+    def backoff(count, mu: float):
+        """Log weight that a context seen so often gives to its lower order."""
+        return np.log10(mu / (np.asarray(count, float) + mu))
+
+    def read(self, first: int, end: int) -> float:
+        """The log10 weight of the text at places [first, end): one pass that carries the state."""
+        arcs, to = self.arc[:, first:end].T.tolist(), self.to[:, first:end].T.tolist()
+        fail, fail_weight, depth = self.fail, self.fail_weight, self.depth
+        state, total = self.begin, 0.0
+        for arc, dest in zip(arcs, to, strict=True):
+            d = depth[state]
+            w = arc[d]
+            while w != w:  # no arc here
+                if not d:
+                    total += self.unknown
+                    break
+                total += fail_weight[state]
+                state = fail[state]
+                d = depth[state]
+                w = arc[d]
+            else:
+                total += w
+                state = dest[d]
+        return total
+
+
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def score_block(docs: pa.Table, answers: pa.Table, totals: Totals, settings: Settings) -> pa.Table:
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     types = [docs.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     if not docs.num_rows:
-        return as_table([], names, types)
+        return as_table([], NAMES, types)
+    order = docs.column("place").to_numpy().argsort()
+    docs = docs.take(pa.array(order))
     tokens, starts = sequences(docs)
-    n, doc = docs.num_rows, np.repeat(np.arange(docs.num_rows), np.diff(starts))
-    steps = np.flatnonzero(tokens != START)
-    step_of = np.full(len(tokens), -1, np.int64)
-    step_of[steps] = np.arange(len(steps))
     got = sorted(zip(answers.column("k").to_pylist(), answers.column("shard").to_pylist(), range(answers.num_rows), strict=True))
     low, high = answers.column("low").to_pylist(), answers.column("high").to_pylist()
-    arcs, contexts = [], [np.full(len(steps), totals.tokens)]
+    found = []
     for k in range(1, settings.order + 1):
         last, known, which = distinct(tokens, starts, k)
         counts = np.concatenate([np.zeros(0, np.int64), *[unpack_counts(low[i], high[i]) for kk, _, i in got if kk == k]])
         if len(counts) != len(known):
-            raise RuntimeError(f"block asked for {len(known)} {k}-grams and was told of {len(counts)}")
-        at_step = np.zeros(len(steps), np.int64)
-        at_step[step_of[last]] = counts[which]
-        arcs.append(at_step)
-        # the context of the step after: its count is that of the k-gram that ends before it
-        before = np.zeros(len(tokens) + 1, np.int64)
-        before[last + 1] = counts[which]
-        if k == 1:
-            before[starts[:-1] + 1] = totals.docs
-        elif k == 2:
-            pass  # (start, word) is counted among the bigrams
-        contexts.append(before[steps])
-    weight = Automaton(totals, settings).traverse(arcs, contexts[: settings.order])
-    step_doc = doc[steps]
-    a = settings.base_add
-    base = np.log10((arcs[0] + a) / (totals.tokens + a * (totals.types + 1)))
-    sums = lambda x: np.bincount(step_doc, weights=x, minlength=n)
+            raise RuntimeError(f"a block asked for other {k}-grams than its texts hold: write the rows down first (stable=False)")
+        found.append((last, which, counts))
+    a = Automaton(len(tokens), starts, found, totals, settings)
+    last, which, counts = found[0]
+    n, doc = docs.num_rows, np.repeat(np.arange(docs.num_rows), np.diff(starts))[last]
+    c = counts[which]
+    base = np.bincount(doc, weights=np.log10((c + settings.base_add) / (totals.tokens + settings.base_add * (totals.types + 1))), minlength=n)
+    score = [a.read(i + 1, j) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
     held = ~training(docs.column("doc_id").to_pylist(), settings.folds)
-    ints = lambda x: pa.array(np.round(x).astype(np.int64))
-    return pa.table([docs.column("doc_id"), pa.array(held), ints(sums(np.ones(len(steps)))), ints(sums(arcs[0] > 0)), pa.array(np.full(n, totals.tokens)), pa.array(sums(base)), pa.array(sums(weight))], names=names)
+    return pa.table([docs.column("doc_id"), pa.array(held), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[c > 0], minlength=n)), pa.array(np.full(n, totals.tokens)), pa.array(base), pa.array(score, pa.float64())], names=NAMES)
+
+
+def blocks(batches, most: int):
+    """(name, rows) for each block of a task's rows: consecutive rows of `most` bytes of text, one longer text alone."""
+    from pyspark import TaskContext
+
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    for batch in small_batches(batches, "text", most):
+        own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + own > most:
+            yield f"{part}.{number}", pa.Table.from_batches(held)
+            number, held, size = number + 1, [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield f"{part}.{number}", pa.Table.from_batches(held)
+
+
+def score(docs: DataFrame, settings: Settings | None = None, stable: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text).
+
+    stable: docs gives the same rows in the same order in each of its partitions whenever it is read.
+    """
+    s = settings or Settings()
+    docs = docs.select("doc_id", "text")
+    if not stable:
+        docs = materialise(docs, "lm_rows")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # at a terabyte of text and more, larger blocks: a row holds what one block asks of one shard
+    most = min(8 * s.block_bytes, int(s.block_bytes * max(1.0, (size / (1 << 40)) ** 0.5)))
+    shards = max(1, math.ceil(size / most / s.blocks_a_shard))
 
+    def asking(batches):
+        for name, rows in blocks(batches, most):
+            yield from ask(name, rows, s, shards).to_batches()
 
-def score(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
-    settings = settings or Settings()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / settings.block_bytes))
-    shards = max(1, math.ceil(blocks / settings.blocks_a_shard))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(lambda t: ask(t, settings, shards), ASK)
-    answers = materialise(asked.groupBy("shard").applyInArrow(answer, ANSWER), "lm_answers")
-    t = answers.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice", "docs")]).first()
+    def dealing(batches):
+        for name, rows in blocks(batches, most):
+            named = rows.append_column("block", pa.array([name] * rows.num_rows, pa.string())).append_column("place", pa.array(np.arange(rows.num_rows)))
+            yield from named.to_batches()
+
+    answers = materialise(docs.mapInArrow(asking, ASK).groupBy("shard").applyInArrow(answer, ANSWER), "lm_answers")
+    t = answers.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice", "docs")]).first()
     totals = Totals(**t.asDict())
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
-    told = answers.where("block >= 0").select("block", "shard", "k", "low", "high")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, totals, settings), schema)
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(NAMES[1:], (T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()), strict=True)]])
+    told = answers.where("block is not null").select("block", "shard", "k", "low", "high")
+    dealt = docs.mapInArrow(dealing, T.StructType([*docs.schema.fields, T.StructField("block", T.StringType()), T.StructField("place", T.LongType())]))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, totals, s), schema)
+
+
+def fit_mu(docs: DataFrame, candidates: list[tuple], settings: Settings | None = None) -> tuple:
+    """Of the candidates for `mu`, the one under which the held-out texts are likeliest. Candidates are few: each is a run."""
+    s = settings or Settings()
+    total = lambda mu: score(docs, replace(s, mu=mu)).where("held_out").agg(F.sum("score")).first()[0] or 0.0
+    return max(candidates, key=total)

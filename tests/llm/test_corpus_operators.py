@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -31,25 +32,30 @@ def odd(spark):
 
 
 def plain_scores(rows, s):
+    """Interpolated n-grams, one probability at a time."""
     train = [words(t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 10]
-    uni = Counter(w for x in train for w in [*x, "</s>"])
-    bi = Counter((a, b) for x in train for a, b in zip(["<s>", *x], [*x, "</s>"], strict=True))
+    count = Counter()
+    for x in train:
+        x = ["<s>", *x, "</s>"]
+        count.update(tuple(x[i : i + k]) for k in range(1, s.order + 1) for i in range(len(x) - k + 1))
+    uni = {g[0]: c for g, c in count.items() if len(g) == 1 and g != ("<s>",)}
     n, v = sum(uni.values()), len(uni)
     once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
-    d = once / (once + 2 * twice) if once else 0.5
-    context = Counter(uni) + Counter({"<s>": len(train)})
+    d = once / (once + 2 * twice) if once and twice else 0.5
     out = []
     for i, t in rows:
-        x = [*words(t), "</s>"]
-        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
-        score, before = 0.0, "<s>"
-        for w in x:
-            p = 1.0 if not n else (uni[w] - d) / n if uni[w] else d * v / n
-            if before != "</s>" and context[before]:
-                p = (bi[before, w] + s.mu[0] * p) / (context[before] + s.mu[0])
+        x = ["<s>", *words(t), "</s>"]
+        base = sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in x[1:])
+        score = 0.0
+        for j in range(1, len(x)):
+            w = x[j]
+            p = 1.0 if not n else (uni[w] - d) / n if w in uni else d * v / n
+            for k in range(1, min(s.order - 1, j) + 1):
+                context = tuple(x[j - k : j])
+                if count[context]:
+                    p = (count[*context, w] + s.mu[k - 1] * p) / (count[context] + s.mu[k - 1])
             score += math.log10(p)
-            before = w
-        out.append((i, zlib.crc32(str("" if i is None else i).encode()) % 10 == 0, len(x), sum(w in uni for w in x), n, base, score))
+        out.append((i, zlib.crc32(str("" if i is None else i).encode()) % 10 == 0, len(x) - 1, sum(w in uni for w in x[1:]), n, base, score))
     return out
 
 
@@ -57,7 +63,7 @@ def near(a, b):
     return a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("settings", [lm.Settings(), lm.Settings(block_bytes=20_000, blocks_a_shard=3)])
+@pytest.mark.parametrize("settings", [lm.Settings(), lm.Settings(block_bytes=20_000, blocks_a_shard=3), lm.Settings(order=1), lm.Settings(order=2), lm.Settings(order=4, mu=(40.0, 4.0, 2.0), block_bytes=100_000)])
 def test_scores(spark, sf, odd, settings):
     key = lambda r: (r[0] is None, r[0] or 0, r[6])
     for docs in (queries.table(spark, sf, "documents"), odd, odd.where("doc_id is null"), odd.limit(0)):
@@ -67,17 +73,66 @@ def test_scores(spark, sf, odd, settings):
         assert len(got) == len(want) and all(near(a, b) for a, b in zip(got, want, strict=True))
 
 
-def test_trigram_scores_are_distributions(spark, odd):
-    """Over all words that can follow a context, and the unknown word, probabilities sum to one."""
-    t = lm.Totals(tokens=10, types=4, once=1, twice=1, docs=2)
-    a = lm.Automaton(t, lm.Settings(order=3))
-    uni = np.array([4, 3, 2, 1, 0])
-    bi = np.array([2, 1, 0, 0, 0])
-    tri = np.array([1, 0, 0, 0, 0])
-    for c2, c1 in ((2, 3), (0, 3), (0, 0)):
-        w = a.traverse([uni, bi if c1 else bi * 0, tri if c2 else tri * 0], [np.full(5, 10), np.full(5, c1), np.full(5, c2 if c2 == 0 else 1)])
-        assert math.isclose((10.0**w).sum(), 1.0, rel_tol=1e-9)
-    assert lm.score(odd, lm.Settings(order=3)).count() == 9
+def automaton(texts, settings):
+    """The automaton over one block that is all of the corpus, and its tokens."""
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    tokens, starts = lm.sequences(table)
+    found = []
+    for k in range(1, settings.order + 1):
+        last, known, which = lm.distinct(tokens, starts, k)
+        found.append((last, which, np.bincount(which, minlength=len(known))))
+    uni = found[0][2]
+    totals = lm.Totals(tokens=int(uni.sum()), types=len(uni), once=int((uni == 1).sum()), twice=int((uni == 2).sum()), docs=len(texts))
+    return lm.Automaton(len(tokens), starts, found, totals, settings), tokens, starts, found, totals
+
+
+def test_states_are_contexts_of_training_and_failure_arcs_drop_their_first_word():
+    a, tokens, starts, found, _ = automaton(["a b c a b d", "b c", "a b c"], lm.Settings(order=3))
+    assert len(a.depth) == 2 + sum(len(c) for _, _, c in found[:2])  # the root, the beginning, words and pairs
+    assert all(a.depth[a.fail[s]] == a.depth[s] - 1 for s in range(len(a.depth)) if s)
+    # after "a b" the state is that of the pair, and its failure arc leads to the state of "b"
+    first = int(starts[0]) + 1
+    pair, single = a.to[1, first + 1], a.to[0, first + 1]
+    assert a.depth[pair] == 2 and a.fail[pair] == single and a.depth[single] == 1 and a.fail[single] == 0
+    assert a.depth[a.begin] == 1 and a.fail[a.begin] == 0
+
+
+def test_arcs_and_failures_of_a_state_are_a_distribution():
+    """Over the words that training knows, and the unknown word, what a state gives sums to one."""
+    texts = ["a b c a b d", "b c", "a b c", "c c c a"]
+    settings = lm.Settings(order=3)
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    for context in ("", "a", "a b", "c c", "d", "b a"):
+        total = 0.0
+        for w in [*vocabulary, None, "unseen"]:  # None: the end
+            text = context if w is None else f"{context} {w}".strip()
+            probe = pa.table({"doc_id": [*range(len(texts)), 99], "text": [*texts, text]})
+            tokens, starts = lm.sequences(probe)
+            found = []
+            for k in range(1, 4):
+                last, known, which = lm.distinct(tokens, starts, k)
+                inside = last < starts[-2]  # the probe is not of the training
+                found.append((last, which, np.bincount(which[inside], minlength=len(known))))
+            _, _, _, _, totals = automaton(texts, settings)
+            a = lm.Automaton(len(tokens), starts, found, totals, settings)
+            i, j = int(starts[-2]) + 1, int(starts[-1])
+            upto = j if w is None else j - 1
+            total += 10 ** (a.read(i, upto) - (a.read(i, upto - 1) if upto - 1 > i else 0.0 if upto - 1 == i else 0.0))
+        assert math.isclose(total, 1.0, rel_tol=1e-9), (context, total)
+
+
+def test_a_block_with_other_rows_than_it_asked_for_is_refused():
+    docs = pa.table({"doc_id": [1], "text": ["a b"], "block": ["0.0"], "place": [0]})
+    told = pa.table({"block": ["0.0"], "shard": [0], "k": pa.array([1], pa.int32()), "low": [b"\x01"], "high": [b""]})
+    with pytest.raises(RuntimeError):
+        lm.score_block(docs, told, lm.Totals(1, 1, 1, 0, 1), lm.Settings())
+
+
+def test_scores_of_rows_that_are_computed_anew(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    got = lm.score(docs.repartition(3), lm.Settings(block_bytes=50_000), stable=False).collect()
+    want = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+    assert len(got) == len(want) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
 
 
 def test_held_out_text_is_likelier_than_under_the_base(spark, sf):
