@@ -6,12 +6,13 @@ and national identity numbers (only with a word for them close by), and IPv6 add
 A span's score starts from its kind's prior, rises with a checksum and with context words within
 `window` characters, and spans below `threshold` that are not base spans are left out.
 
-Nulls and empty texts have no spans. Texts are scanned whole, in linear time; positions are code
-points, ends exclusive. Repeated rows give equal rows.
+Nulls and empty texts have no spans. Texts are scanned whole; spans that are taken are looked up by
+bisection. Positions are code points, ends exclusive. Repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import re
@@ -25,11 +26,17 @@ from tesserae.llm.common import small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national_id", "local_phone", "ipv6")
-#: Prior of each added kind, before checksum and context.
-PRIOR = {"iban": 0.4, "national_id": 0.3, "local_phone": 0.3, "ipv6": 0.4}
+#: Prior of each kind, before checksum and context.
+PRIOR = {"email": 0.7, "ip": 0.4, "card": 0.4, "phone": 0.5, "iban": 0.4, "national_id": 0.3, "local_phone": 0.3, "ipv6": 0.4}
+#: Base kinds whose matches a checksum has confirmed.
+CONFIRMED = frozenset(["card"])
 CHECKED, NEAR = 0.4, 0.3
 #: Words that speak for a kind when they stand close to a span (fixed values, four languages).
 CONTEXT = {
+    "email": ("mail", "write", "contact", "correo", "courriel", "schreib"),
+    "ip": ("ip", "host", "address", "server", "adresse"),
+    "card": ("card", "visa", "mastercard", "karte", "carte", "tarjeta", "pay"),
+    "phone": ("phone", "call", "tel", "mobile", "telefon", "téléphone", "teléfono", "handy", "móvil", "fax"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "national_id": ("ssn", "social security", "passport", "sozialversicherung", "ausweis", "sécurité sociale", "dni", "pasaporte"),
     "local_phone": ("phone", "call", "tel", "mobile", "telefon", "téléphone", "teléfono", "handy", "móvil", "fax"),
@@ -127,21 +134,46 @@ def near(text: str, start: int, end: int, kind: str, window: int) -> bool:
     return any(re.search(rf"(?<!\w){re.escape(w)}", around) for w in CONTEXT[kind])
 
 
+class Taken:
+    """Places that spans take up, as intervals apart from each other and in order."""
+
+    def __init__(self, spans) -> None:
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def add(self, start: int, end: int) -> None:
+        """Take a place that meets no other."""
+        i = bisect.bisect_right(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def score(text: str, start: int, end: int, kind: str, checked: bool, settings: Settings) -> float:
+    return PRIOR[kind] + CHECKED * checked + NEAR * near(text, start, end, kind, settings.window)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], settings: Settings) -> list[tuple[int, int, int, float]]:
     """(start, kind's number, end, score) of further spans, none of which overlaps a base span or an earlier one."""
-    out, taken = [], [(s, e) for s, _, e in base]
+    # an IBAN may hold a card-like run of digits: it is reported beside the base span
+    accounts = ibans(text)
+    out = [(s, KINDS.index("iban"), e, score(text, s, e, "iban", True, settings)) for s, e in accounts]
+    taken = Taken([*[(s, e) for s, _, e in base], *accounts])
 
     def offer(m: re.Match, kind: str, checked: bool) -> None:
-        score = PRIOR[kind] + CHECKED * checked + NEAR * near(text, m.start(), m.end(), kind, settings.window)
-        if score >= settings.threshold and all(e <= m.start() or s >= m.end() for s, e in taken):
-            taken.append((m.start(), m.end()))
-            out.append((m.start(), KINDS.index(kind), m.end(), score))
-
-    for start, end in ibans(text):
-        # an IBAN may hold a card-like run of digits: it is reported beside the base span
-        score = PRIOR["iban"] + CHECKED + NEAR * near(text, start, end, "iban", settings.window)
-        out.append((start, KINDS.index("iban"), end, score))
-        taken.append((start, end))
+        start, end = m.span()
+        if not taken.meets(start, end) and (value := score(text, start, end, kind, checked, settings)) >= settings.threshold:
+            taken.add(start, end)
+            out.append((start, KINDS.index(kind), end, value))
+
     for m in NATIONAL.finditer(text):
         a, b, c = m.group().split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":
@@ -192,7 +224,7 @@ SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T
 
 
 def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, counts of base kinds, digest of base spans, all spans, and the scores of added ones in order."""
+    """doc_id, counts of base kinds, digest of base spans, all spans, and their scores in the same order."""
     settings = settings or Settings()
     schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
 
@@ -202,7 +234,8 @@ def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base, more = spans(text or "", settings)
                 counts = [sum(k == i for _, k, _ in base) for i in range(len(BASE))]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more]), [x[3] for x in sorted(more)]))
+                rated = sorted([*[(s, k, e, score(text, s, e, KINDS[k], KINDS[k] in CONFIRMED, settings)) for s, k, e in base], *more])
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(rated), [x[3] for x in rated]))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.float64())], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
 
