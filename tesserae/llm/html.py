@@ -1,20 +1,24 @@
 """Main text of web pages: parser events, text-to-tag ratio, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events. Each block of text is a line with a ratio: its
-characters over the tags since the block before. Blocks inside elements that are never article text
-(menus, forms, scripts, adverts, comments, ...) have ratio 0. The ratios are smoothed with a
-Gaussian; blocks at or above the threshold (the standard deviation) vote for the region that they
-stand in: the outermost article or main element, or else the nearest container. The text is every
-block of the chosen regions, short ones included, in page order.
-
-A null or empty page has an empty text. Pages of any length are parsed whole. A page of which no
-block reaches the threshold keeps all its blocks that stand in no excluded element. Repeated rows
-give equal rows.
+The standard library's parser streams events. What stands between two block-level tags is a line (lines
+of the file mean nothing: many pages have one); its ratio is its characters over the tags since the
+line before. Lines inside elements that are never article text (menus, forms, scripts, adverts,
+comments, ...) have ratio 0. The ratios are smoothed with a Gaussian, and the threshold, their
+standard deviation, divides the lines into content and the rest. Content lines are the mass of the
+containers around them (text that has no paragraph of its own counts half): from the page inwards,
+the container that holds most of its parent's mass is entered as long as there is one, and the region
+so found grows again over headings and further content around it, up to an article or main element
+where there is one. The text is every line of the region, short ones included, in page order.
+
+A null or empty page has an empty text. Pages of any length are parsed whole, in linear time. On a page
+of which no line reaches the threshold, all lines outside of excluded elements count as content.
+Repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,6 +37,7 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 REGION = frozenset(["article", "main"])
 CONTAINER = frozenset("body html section div td article main center fieldset".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open p.
 ENDS_P = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table section article aside header footer nav form pre blockquote hr main figure address".split())
 
@@ -51,7 +56,7 @@ def marked(attrs: list) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags before it, container, excluded) for each block."""
+    """Collects (text, tags before it, container, excluded, kind) for each line; kind: bare, heading or text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -59,17 +64,20 @@ class Blocks(HTMLParser):
         self.count: dict[str, int] = {}
         self.shut = 0
         self.regions = 0
-        self.container, self.parents, self.is_region = 0, [None], [False]
+        self.container, self.parents, self.tag_of = 0, [-1], [""]
+        self.around: list[str] = []  # open block-level elements
         self.text: list[str] = []
         self.tags = 0
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, str]] = []
 
     def end_block(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                self.blocks.append((text, self.tags, self.container, self.shut > 0))
+                tag = self.around[-1] if self.around else ""
+                kind = "heading" if tag in HEADING else "bare" if not tag or tag in CONTAINER else "text"
+                self.blocks.append((text, self.tags, self.container, self.shut > 0, kind))
                 self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -95,7 +103,7 @@ class Blocks(HTMLParser):
         if tag in CONTAINER:
             outside = self.container
             self.parents.append(self.container)
-            self.is_region.append(tag in REGION)
+            self.tag_of.append(tag)
             self.container = len(self.parents) - 1
         self.push(tag, excluded, outside)
 
@@ -103,12 +111,16 @@ class Blocks(HTMLParser):
 
     def push(self, tag, excluded, outside):
         self.open.append((tag, excluded, outside))
+        if tag not in INLINE:
+            self.around.append(tag)
         self.count[tag] = self.count.get(tag, 0) + 1
         self.shut += excluded
         self.regions += tag in REGION
 
     def pop(self):
         tag, excluded, outside = self.open.pop()
+        if tag not in INLINE:
+            self.around.pop()
         self.count[tag] -= 1
         self.shut -= excluded
         self.regions -= tag in REGION
@@ -154,7 +166,7 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
-    def done(self) -> list[tuple[str, int, int, bool]]:
+    def done(self) -> list[tuple[str, int, int, bool, str]]:
         self.close()
         self.end_block()
         return self.blocks
@@ -167,50 +179,93 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def main_blocks(html: str | None, sigma: float = 1.0) -> list[str]:
+@dataclass(frozen=True)
+class Settings:
+    sigma: float = 1.0
+    most: float = 0.6  # share of a container's mass that makes one inside it the region
+    bare: float = 0.5  # what text without a paragraph of its own counts
+
+
+def sums(values: list, parents: list) -> list:
+    """Of each container, with all that it holds; a container's number is above its parent's."""
+    out = list(values)
+    for c in range(len(out) - 1, 0, -1):
+        out[parents[c]] += out[c]
+    return out
+
+
+def region(lines: list, content: np.ndarray, parents: list, tag_of: list, s: Settings) -> list[bool]:
+    """For each container: whether its own lines belong to the main text."""
+    n = len(parents)
+    mass, odd, paragraphs = [0.0] * n, [0] * n, [0] * n
+    for (text, _, c, shut, kind), yes in zip(lines, content, strict=True):
+        if shut:
+            continue
+        if yes:
+            mass[c] += len(text) * (s.bare if kind == "bare" else 1.0)
+        odd[c] += kind != "heading" and not (yes and kind == "text")
+        paragraphs[c] += kind != "bare"
+    total, odd, paragraphs = sums(mass, parents), sums(odd, parents), sums(paragraphs, parents)
+    heaviest = [-1] * n
+    for c in range(1, n):
+        p = parents[c]
+        if heaviest[p] < 0 or total[c] > total[heaviest[p]]:
+            heaviest[p] = c
+    at = 0
+    while heaviest[at] >= 0 and total[at] > 0 and total[heaviest[at]] >= s.most * total[at]:
+        at = heaviest[at]
+    outermost, c = -1, at
+    while c >= 0:
+        outermost = c if tag_of[c] in REGION else outermost
+        c = parents[c]
+    page = ("", "html", "body")
+    if outermost >= 0:
+        at = outermost
+    else:
+        while tag_of[at] not in page and tag_of[parents[at]] not in page and odd[parents[at]] == odd[at]:
+            at = parents[at]
+    inside = [False] * n
+    whole = tag_of[at] not in page
+    # where no container holds most of the page: its articles, or else its own lines and what holds several lines of content
+    articles = not whole and any(tag_of[c] in REGION and total[c] > 0 for c in range(n))
+    for c in range(at, n):
+        p = parents[c]
+        if c == at:
+            inside[c] = not articles
+        elif p >= 0 and inside[p] and (whole or p != at):
+            inside[c] = True
+        elif articles:
+            inside[c] = tag_of[c] in REGION and total[c] > 0
+        elif p == at:
+            inside[c] = total[c] > 0 and (paragraphs[c] > 1 or tag_of[c] in page)
+    return inside
+
+
+def main_blocks(html: str | None, settings: Settings | None = None) -> list[str]:
+    s = settings or Settings()
     if not html:
         return []
     parser = Blocks()
     parser.feed(html)
-    blocks = parser.done()
-    if not blocks:
+    lines = parser.done()
+    if not lines:
         return []
-    ratios = np.array([0.0 if shut else len(text) / max(1, tags) for text, tags, _, shut in blocks])
-    level = smooth(ratios, sigma)
-    chosen = (level >= level.std()) & (ratios > 0)
-    if not chosen.any():
-        chosen = ratios > 0
-    alone: dict[int, int] = {}
-    for _, _, container, shut in blocks:
-        if not shut:
-            alone[container] = alone.get(container, 0) + 1
-
-    def region(container: int) -> tuple[int, bool]:
-        at, outermost = container, None
-        while at is not None:
-            if parser.is_region[at]:
-                outermost = at
-            at = parser.parents[at]
-        if outermost is not None:
-            return outermost, True
-        while alone.get(container, 0) < 2 and parser.parents[container] is not None:
-            container = parser.parents[container]
-        return container, False
-
-    regions = {c: region(c) for c in {b[2] for b in blocks}}
-    picked = {regions[b[2]] for b, yes in zip(blocks, chosen, strict=True) if yes}
-    if any(marked for _, marked in picked):
-        picked = {r for r in picked if r[1]}
-    return [text for text, _, container, shut in blocks if not shut and regions[container] in picked]
-
-
-def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
+    ratios = np.array([0.0 if shut else len(text) / max(1, tags) for text, tags, _, shut, _ in lines])
+    level = smooth(ratios, s.sigma)
+    content = (level >= level.std()) & (ratios > 0)
+    if not content.any():
+        content = ratios > 0
+    inside = region(lines, content, parser.parents, parser.tag_of, s)
+    return [text for text, _, c, shut, _ in lines if not shut and inside[c]]
+
+
+def extract(pages: DataFrame, settings: Settings | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in small_batches(batches, "html"):
-            texts = ["\n\n".join(main_blocks(h, sigma)) for h in batch.column("html").to_pylist()]
+            texts = ["\n\n".join(main_blocks(h, settings)) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
