@@ -8,7 +8,8 @@ columns. Patterns are rounded down, and rests, ranked within their length, take
 places. Tails, and the rests that rounding or a pattern with too much padding leaves over, are laid
 end to end and cut at the sequence length; the last sequences have lengths that are powers of two.
 With single ids as the granule the program has a thousand classes, and the simplex method was still a
-quarter above the optimum after 4,000 columns; with 16 it ends there after some hundred.
+quarter above the optimum after 4,000 columns; with 16 it ends there after some hundred. What is
+packed are the ids themselves, in every piece.
 
 Nulls: a null text is empty: its ids are the end id alone. Repeated rows are packed each. Very long
 texts are encoded whole, piece by piece. An empty table gives an empty result.
@@ -17,7 +18,6 @@ texts are encoded whole, piece by piece. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,37 +66,37 @@ class Ids:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def packed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit, as they are carried from step to step."""
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
-CUT = "doc_id {id}, doc_tokens long, full array<long>, rest int, tail int, rest_crc long, ids binary"
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
+
+
+CUT = "doc_id {id}, doc_tokens long, whole int, full binary, rest int, tail int, ids binary"
 
 
 def cut(docs: DataFrame, path: str, ranks_path: str | None, length: int, end_id: int, granule: int) -> DataFrame:
+    """Each document's ids: `full` has those of `whole` sequences, `ids` those of the rest and the tail."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        ids = Ids(path, ranks_path)
+        encode = Ids(path, ranks_path)
         for batch in small_batches(batches, "text", 2 << 20):
             rows = []
             for text in batch.column("text").to_pylist():
-                all_ids = np.append(ids.of(text or ""), np.uint32(end_id))
-                whole = len(all_ids) // length
-                left = all_ids[whole * length :]
-                tail = len(left) % granule
-                rest = left[: len(left) - tail]
-                rows.append((len(all_ids), [crc(all_ids[i * length : (i + 1) * length]) for i in range(whole)], len(rest), tail, crc(rest), left.astype("<u2" if left.max(initial=0) < 1 << 16 else "<u4").tobytes()))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "doc_tokens", "full", "rest", "tail", "rest_crc", "ids"])
+                ids = np.append(encode.of(text or ""), np.uint32(end_id))
+                whole, left = divmod(len(ids), length)
+                tail = left % granule
+                rows.append((len(ids), whole, packed(ids[: whole * length]), left - tail, tail, packed(ids[whole * length :])))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "doc_tokens", "whole", "full", "rest", "tail", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CUT.format(id=kind))
 
 
-def unpacked(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.uint32)
-
-
 # --- the linear program ----------------------------------------------------------------------------
 
 
@@ -228,33 +228,47 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
+PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
 def pack(docs: DataFrame, path: str, ranks_path: str | None = None, settings: Settings | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of docs(doc_id, text)."""
+    """A row for each piece of docs(doc_id, text): doc_id, start (its document's ids before it), length, ids (little-endian
+    unsigned 32-bit), doc_tokens, sequence_id, offset (in the sequence)."""
     s = settings or Settings()
     if s.length & (s.length - 1) or s.length % s.granule:
         raise ValueError("the sequence length must be a power of two, and a multiple of the granule")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = materialise(cut(docs, path, ranks_path, s.length, s.end_id, s.granule), "pack_cut")
+    # rows are told apart, and dealt, by a number that being written fixes: equal rows stand apart
+    done = materialise(cut(docs, path, ranks_path, s.length, s.end_id, s.granule).withColumn("_row", F.monotonically_increasing_id()), "pack_cut")
     histogram = {r[0]: r[1] for r in done.where("rest > 0").groupBy("rest").count().collect()}  # length / granule rows at most
-    wholes, rows = done.agg(F.coalesce(F.sum(F.size("full")), F.lit(0)), F.count(F.lit(1))).first()
+    wholes, rows = done.agg(F.coalesce(F.sum("whole"), F.lit(0)), F.count(F.lit(1))).first()
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in sorted(histogram)], np.int64)
     units = solve(lengths // s.granule, demand, s.length // s.granule, s.gap) if len(lengths) else None
     spots = places(units, demand, s.length // s.granule, s.most_padding // s.granule) if len(lengths) else Places({}, {}, {}, {}, {}, 0)
 
-    out_schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out_schema = PIECES.format(id=kind)
     names = [x.split()[0] for x in out_schema.split(", ")]
-    buckets = F.lit(buckets_for(rows))
-    hashed = done.withColumn("_h", F.xxhash64("doc_id", "rest_crc")).withColumn("_b", F.pmod(F.col("_h"), buckets))
 
-    full = hashed.where(F.size("full") > 0).select("doc_id", "doc_tokens", "full", "_h", "_b", F.lit(0).alias("_g"), F.size("full").cast("long").alias("_n"))
-    full = running_total(full, ["_g"], "_b", ["_h", "doc_id"], F.col("_n"), "_before")
-    full = full.select("doc_id", "doc_tokens", "_before", F.posexplode("full").alias("i", "ids_crc32"))
-    full = full.select("doc_id", (F.col("i") * s.length).cast("long").alias("start"), F.lit(s.length).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("_before") + F.col("i")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    def batch_of(out: list, doc_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, doc_type if n == "doc_id" else pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+    hashed = done.withColumn("_h", F.xxhash64("_row")).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets_for(rows))))
 
-    rests = hashed.where("rest + tail > 0").select("doc_id", "doc_tokens", "rest", "tail", "rest_crc", "ids", "_h", "_b")
-    ranked = running_total(rests, ["rest"], "_b", ["_h", "doc_id"], F.lit(1), "_rank")
-    carried = ["doc_id", "doc_tokens", "rest", "rest_crc", "_h", "_b"]
+    full = hashed.where("whole > 0").select("doc_id", "doc_tokens", "whole", "full", "_row", "_b", F.lit(0).alias("_g"))
+    full = running_total(full, ["_g"], "_b", ["_row"], F.col("whole").cast("long"), "_before")
+
+    def lay_full(batches):
+        for b in batches:
+            for doc_id, tokens, whole, blob, at in zip(*[b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "whole", "full", "_before")], strict=True):
+                ids = unpacked(blob, whole * s.length).reshape(whole, s.length)
+                for i in range(0, whole, 256):  # a very long document is laid out in parts
+                    yield batch_of([(doc_id, j * s.length, s.length, ids[j].tobytes(), tokens, at + j, 0) for j in range(i, min(whole, i + 256))], b.schema.field("doc_id").type)
+
+    rests = hashed.where("rest + tail > 0").select("doc_id", "doc_tokens", "rest", "tail", "ids", "_row", "_b")
+    ranked = running_total(rests, ["rest"], "_b", ["_row"], F.lit(1), "_rank")
+    carried = ["doc_id", "doc_tokens", "rest", "ids", "_row", "_b"]
 
     def seat(batches):
         for b in batches:
@@ -265,28 +279,30 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, settings: Se
                 sequence[at], offset[at] = spots.of(n // s.granule, rank[at])
             # what goes to the stream: the tail, or all that is left
             loose = np.where(sequence >= 0, 0, rest) + b.column("tail").to_numpy()
-            blobs = []
-            for blob, n, left in zip(b.column("ids").to_pylist(), loose.tolist(), (rest + b.column("tail").to_numpy()).tolist(), strict=True):
-                blobs.append(blob[(left - n) * (len(blob) // left) :])
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in carried] + [pa.array(loose.astype(np.int64)), pa.array(blobs, pa.binary()), pa.array(sequence), pa.array(offset * s.granule)], names=[*carried, "loose", "ids", "sequence", "offset"])
-
-    seated = materialise(ranked.mapInArrow(seat, f"doc_id {kind}, doc_tokens long, rest int, rest_crc long, _h long, _b long, loose long, ids binary, sequence long, offset long"), "pack_seated")
-    first = wholes
-    whole_ids = F.col("doc_tokens") - F.col("doc_tokens") % s.length
-    in_patterns = seated.where("sequence >= 0").select("doc_id", whole_ids.alias("start"), F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", (F.col("sequence") + first).alias("sequence_id"), "offset")
-
-    first += spots.sequences
-    loose = seated.where("loose > 0").select("doc_id", "doc_tokens", "loose", "ids", "_h", "_b", F.lit(0).alias("_g"))
+            left = rest + b.column("tail").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in carried] + [pa.array(x.astype(np.int64)) for x in (left, loose, sequence, offset * s.granule)], names=[*carried, "left", "loose", "sequence", "offset"])
+
+    seated = materialise(ranked.mapInArrow(seat, f"doc_id {kind}, doc_tokens long, rest int, ids binary, _row long, _b long, left long, loose long, sequence long, offset long"), "pack_seated")
+
+    def lay_seated(batches):
+        for b in batches:
+            out = []
+            for doc_id, tokens, rest, blob, left, sequence, offset in zip(*[b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest", "ids", "left", "sequence", "offset")], strict=True):
+                out.append((doc_id, tokens - left, rest, unpacked(blob, left)[:rest].tobytes(), tokens, wholes + sequence, offset))
+            yield batch_of(out, b.schema.field("doc_id").type)
+
+    first = wholes + spots.sequences
+    loose = seated.where("loose > 0").select("doc_id", "doc_tokens", "left", "loose", "ids", "_row", "_b", F.lit(0).alias("_g"))
     total = loose.agg(F.coalesce(F.sum("loose"), F.lit(0))).first()[0]
-    loose = running_total(loose, ["_g"], "_b", ["_h", "doc_id"], F.col("loose"), "_before")
+    loose = running_total(loose, ["_g"], "_b", ["_row"], F.col("loose"), "_before")
     tail = powers(total % s.length)
     cuts = np.cumsum([total // s.length * s.length, *tail])  # where the last, shorter sequences begin
 
-    def lay(batches):
+    def lay_loose(batches):
         for b in batches:
             out = []
-            for doc_id, tokens, n, blob, at in zip(*[b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "loose", "ids", "_before")], strict=True):
-                ids, done_ids = unpacked(blob, n), 0
+            for doc_id, tokens, left, n, blob, at in zip(*[b.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "left", "loose", "ids", "_before")], strict=True):
+                ids, done_ids = unpacked(blob, left)[left - n :], 0
                 while done_ids < n:
                     place = at + done_ids
                     if place < cuts[0]:
@@ -295,9 +311,9 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, settings: Se
                         k = int(np.searchsorted(cuts, place, "right")) - 1
                         sequence, offset, room = cuts[0] // s.length + k, place - cuts[k], cuts[k + 1] - place
                     take = min(int(room), n - done_ids)
-                    out.append((doc_id, tokens - n + done_ids, take, crc(ids[done_ids : done_ids + take]), tokens, first + int(sequence), int(offset)))
+                    out.append((doc_id, tokens - n + done_ids, take, ids[done_ids : done_ids + take].tobytes(), tokens, first + int(sequence), int(offset)))
                     done_ids += take
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=names)
+            yield batch_of(out, b.schema.field("doc_id").type)
 
-    return full.unionByName(in_patterns).unionByName(loose.mapInArrow(lay, out_schema)).select(*names)
+    laid = full.mapInArrow(lay_full, out_schema).unionByName(seated.where("sequence >= 0").mapInArrow(lay_seated, out_schema))
+    return laid.unionByName(loose.mapInArrow(lay_loose, out_schema))

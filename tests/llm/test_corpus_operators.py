@@ -144,28 +144,28 @@ def test_held_out_text_is_likelier_than_under_the_base(spark, sf):
 
 
 def check_packing(spark, docs):
-    pieces = packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken")).collect()
+    pieces = queries.packed(docs).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    ids = Counter()
+    want = Counter()
     for r in docs.select("doc_id", "text").collect():
         x = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
-        ids[r["doc_id"], x.tobytes()] += 1
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+        want[r["doc_id"], x.tobytes()] += 1
+    # every id of every document lies in one piece: pieces of equal documents are put together in any order
+    got, by_sequence = defaultdict(lambda: defaultdict(Counter)), defaultdict(list)
     for p in pieces:
-        by_doc[p["doc_id"], p["doc_tokens"]].append(p)
+        ids = bytes(p["ids"])
+        assert len(ids) == 4 * p["length"] > 0 and p["ids_crc32"] == zlib.crc32(ids)
+        for j, i in enumerate(np.frombuffer(ids, "<u4").tolist()):
+            got[p["doc_id"], p["doc_tokens"]][p["start"] + j][i] += 1
         by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
-    want = defaultdict(Counter)
-    for (i, x), times in ids.items():
-        x = np.frombuffer(x, "<u4")
-        for p in by_doc[i, len(x)]:
-            assert any(zlib.crc32(np.frombuffer(y, "<u4")[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"] for j, y in ids if j == i)
-        want[i, len(x)]["docs"] += times
-    for key, c in want.items():
-        assert sum(p["length"] for p in by_doc[key]) == key[1] * c["docs"]
-        for place in (0, key[1] // 2, key[1] - 1):
-            assert sum(p["start"] <= place < p["start"] + p["length"] for p in by_doc[key]) == c["docs"]
+    places = defaultdict(lambda: defaultdict(Counter))
+    for (i, x), times in want.items():
+        x = np.frombuffer(x, "<u4").tolist()
+        for j, y in enumerate(x):
+            places[i, len(x)][j][y] += times
+    assert got == places
     padding = 0
     for spans in by_sequence.values():
         at = 0
