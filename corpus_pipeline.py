@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, minhash, mixing, packing, pii, quality
-from tesserae.llm.queries import table, vocabulary
+from tesserae.llm import common, minhash, mixing, pii, quality
+from tesserae.llm.queries import packed, table, vocabulary
 from tesserae.ship import shipped
 
 
@@ -53,8 +53,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    """Pieces of the documents in sequences, with their ids."""
+    return packed(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("source_mix", source_mix), ("packing", pack)]
