@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -341,34 +340,41 @@ def test_embedding_near_duplicates(spark, sf):
     vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("node", F.lit(1)).select("vec_id", "label", "embedding")
     assert check_vectors(vectors) > 1000
     assert check_vectors(vectors, covertree.Settings(cell=40, leaf=4)) > 1000  # many cells
+    assert check_vectors(vectors, covertree.Settings(cell=12, most_pivots=3, leaf=4, chunk=50)) > 1000  # dealt again and again
+    assert check_vectors(vectors, covertree.Settings(cell=12, most_pivots=2, leaf=4, cosine=0.6)) > 10_000  # nodes within reach as a whole
     repeated = covertree.near_duplicates(vectors.where("vec_id < 2").unionAll(vectors.where("vec_id = 0"))).where("vec_id = 0").collect()
     assert len(repeated) == 2 and all(r["n_links"] == 1 and r["kept"] for r in repeated)
     assert covertree.near_duplicates(vectors.limit(0)).count() == 0
 
 
-def test_a_label_whose_classes_all_miss_the_pivot_threshold(spark):
+def test_a_cell_whose_classes_all_miss_the_pivot_threshold(spark, monkeypatch):
+    """Where the hash lets no class through, the smallest one stands for the cell."""
     rng = np.random.default_rng(6)
-    rows = []
-    while len(rows) < 60:
-        v = [float(x) for x in np.array([1.0, 0.0, 0.0, 0.0]) + rng.normal(size=4) * 0.05]
-        node = xxhash.xxh3_128_digest(repr(7).encode() + b"|" + covertree.unit(v).tobytes())
-        if xxhash.xxh64_intdigest(node, 42) % (1 << 20) > (1 << 20) * 10 / 60:
-            rows.append((len(rows), 7, v))
-    assert check_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")) > 1000
+    rows = [(i, 7, [float(x) for x in np.array([1.0, 0.0, 0.0, 0.0]) + rng.normal(size=4) * 0.05]) for i in range(60)]
+    real = F.pmod
+    monkeypatch.setattr(covertree.F, "pmod", lambda a, b: F.lit(1 << 21) if "1048576" in str(b) else real(a, b))
+    assert check_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), covertree.Settings(cell=10)) > 1000
 
 
 def test_cover_tree_prunes():
     rng = np.random.default_rng(7)
     x = np.repeat(rng.normal(size=(50, 32)), 40, axis=0) + rng.normal(size=(2000, 32)) * 0.01
     x /= np.linalg.norm(x, axis=1)[:, None]
-    tree, compared = covertree.build(x, np.arange(2000), 2.0, 32), 0
+    tree, compared, wholes = covertree.build(x, np.arange(2000), 2.0, 32), 0, 0
 
     def count(p, q):
         nonlocal compared
         compared += len(p) * len(q)
 
+    def whole(a, b):
+        nonlocal wholes
+        wholes += len(a.points) * (len(a.points) - 1) // 2 if a is b else len(a.points) * len(b.points)
+
     covertree.dual(tree, tree, covertree.Settings().reach, count)
     assert compared < 2000 * 2000 / 10
+    alone, compared = compared, 0
+    covertree.dual(tree, tree, covertree.Settings().reach, count, whole)
+    assert compared < alone / 10 and wholes > 50 * 40 * 39 // 2 * 0.9  # a dense cluster is counted, not compared
 
 
 # --- mixing --------------------------------------------------------------------------------------------
