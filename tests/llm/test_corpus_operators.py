@@ -429,6 +429,22 @@ def test_mixing(spark, sf, odd):
     taken = {(r["doc_id"], r["source"]): r["taken"] // r["size"] for r in first if r["size"]}
     assert all(copies[k] == n for k, n in taken.items())
     assert mixing.repeated(odd).columns == odd.columns
+    assert mixing.repeated(odd.limit(0)).count() == 0
+
+
+def test_mixing_repeats_rows_as_the_mix_takes_them(spark, odd):
+    """Also where equal rows stand at the edge of what is taken, and one row is a third of all."""
+    same = [(7, "one two three four", "a")] * 400 + [(i, f"text {i} of the source", "a") for i in range(600)] + [(i, f"other {i} words", "b") for i in range(300)] + [(9, "", "b"), (9, None, None), (None, "no id", None), (None, "no id", None)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("edge", F.lit(1))
+    for weights in ((5, 2, 1), (1, 4), (1, 1), (3, 7, 2)):
+        taken, count = Counter(), Counter()
+        for r in mixing.mix_sources(docs, weights).collect():
+            taken[r["doc_id"], r["source"], r["size"]] += r["taken"] // r["size"] if r["size"] else 1
+        out = mixing.repeated(docs, weights)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            count[r["doc_id"], r["source"], len(words(r["text"]))] += 1
+        assert count == +taken, weights
 
 
 def test_mixing_prefers_quality(spark):
