@@ -2,7 +2,8 @@
 
 The four plain kinds (email, ip, card, phone) are found by the rules of the base; they always stay.
 The method adds kinds that need evidence beyond a pattern: IBANs (mod-97), national phone numbers
-and national identity numbers (only with a word for them close by), and IPv6 addresses (parsed).
+and national identity numbers (only with a word for them close by), IPv6 addresses (parsed), and
+secrets (random-looking keys with a word for them close by, or in a form that marks them).
 A span's score starts from its kind's prior, rises with a checksum and with context words within
 `window` characters, and spans below `threshold` that are not base spans are left out.
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import ipaddress
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,9 +28,9 @@ from pyspark.sql import types as T
 from tesserae.llm.common import small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "national_id", "local_phone", "ipv6")
+KINDS = (*BASE, "iban", "national_id", "local_phone", "ipv6", "secret")
 #: Prior of each kind, before checksum and context.
-PRIOR = {"email": 0.7, "ip": 0.4, "card": 0.4, "phone": 0.5, "iban": 0.4, "national_id": 0.3, "local_phone": 0.3, "ipv6": 0.4}
+PRIOR = {"email": 0.7, "ip": 0.4, "card": 0.4, "phone": 0.5, "iban": 0.4, "national_id": 0.3, "local_phone": 0.3, "ipv6": 0.4, "secret": 0.3}
 #: Base kinds whose matches a checksum has confirmed.
 CONFIRMED = frozenset(["card"])
 CHECKED, NEAR = 0.4, 0.3
@@ -41,6 +44,7 @@ CONTEXT = {
     "national_id": ("ssn", "social security", "passport", "sozialversicherung", "ausweis", "sécurité sociale", "dni", "pasaporte"),
     "local_phone": ("phone", "call", "tel", "mobile", "telefon", "téléphone", "teléfono", "handy", "móvil", "fax"),
     "ipv6": ("ip", "host", "address", "server"),
+    "secret": ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "credential", "bearer", "kennwort", "mot de passe", "contraseña"),
 }
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,6 +59,9 @@ IBAN_LENGTH = {c: n for n, names in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 1
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+")
+#: Beginnings of keys whose makers mark them so (fixed values).
+MARKED = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}$|glpat-[A-Za-z0-9_-]{20}$|sk_live_[A-Za-z0-9]{20,}$")
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,13 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def random_looking(key: str) -> bool:
+    """Letters and digits, at three bits a character or more."""
+    if len(key) > 512 or not any(map(str.isdigit, key)) or not any(map(str.isalpha, key)):
+        return False
+    return -sum(n / len(key) * math.log2(n / len(key)) for n in Counter(key).values()) >= 3
+
+
 def ibans(text: str) -> list[tuple[int, int]]:
     """Spans with a right checksum. A match may run on into upper-case words or numbers: of its beginnings that end with a
     word, the one of the country's length comes first, then the match as it is, and without a known length each, longest first."""
@@ -180,6 +194,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], settings: Settings)
             offer(m, "national_id", False)
     for m in LOCAL_PHONE.finditer(text):
         offer(m, "local_phone", False)
+    for m in SECRET.finditer(text):
+        if random_looking(m.group()):
+            offer(m, "secret", bool(MARKED.match(m.group())))
     if ":" in text:
         for m in IPV6.finditer(text):
             try:
@@ -220,11 +237,11 @@ def redact(text: str | None, settings: Settings) -> str | None:
     return "".join([*out, text[at:]])
 
 
-SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")] + [T.StructField("scores", T.ArrayType(T.DoubleType()))])
+SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")] + [T.StructField("n_spans", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
 
 def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, counts of base kinds, digest of base spans, all spans, and their scores in the same order."""
+    """doc_id, counts of base kinds, digest of base spans, all spans, their number, and their scores in the same order."""
     settings = settings or Settings()
     schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
 
@@ -235,8 +252,8 @@ def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
                 base, more = spans(text or "", settings)
                 counts = [sum(k == i for _, k, _ in base) for i in range(len(BASE))]
                 rated = sorted([*[(s, k, e, score(text, s, e, KINDS[k], KINDS[k] in CONFIRMED, settings)) for s, k, e in base], *more])
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(rated), [x[3] for x in rated]))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.float64())], strict=True)]
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(rated), len(rated), [x[3] for x in rated]))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.float64())], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
