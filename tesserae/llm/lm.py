@@ -17,8 +17,8 @@ gathers rows of texts, however often a text is repeated. Shards hold hashes: 64
 bits beside the shard for longer n-grams.
 
 Blocks are cut twice, first to ask and then to score, and must hold the same rows in the same order,
-as those of a table's files do. A block whose n-grams are not those it asked for fails the job;
-`stable=False` writes the rows down first, for inputs that are computed anew each time.
+as those of a table's files do (`stable=True`); other inputs are written down first. A block whose
+n-grams are not those it asked for fails the job.
 
 Nulls: a null text is empty: one end token. A null id counts as the empty text, so it is held out.
 Repeated rows count as often as they stand there, and get a row each. Without training rows each
@@ -131,13 +131,15 @@ def ask(block: str, table: pa.Table | pa.RecordBatch, settings: Settings, shards
     tokens, starts = sequences(table)
     train = training(table.column("doc_id").to_pylist(), settings.folds)
     inside = np.repeat(train, np.diff(starts))
-    rows = [(block, 0, 0, b"", *pack_counts(np.array([train.sum()])))]  # k = 0: documents in training
+    rows, check = [], 0
     for k in range(1, settings.order + 1):
         last, known, which = distinct(tokens, starts, k)
+        check = (check + int(known.sum(dtype=np.uint64)) * (2 * k + 1)) % (1 << 64)
         counts = np.bincount(which[inside[last]], minlength=len(known))
         owner = shard_of(known, shards)
         cuts = np.searchsorted(owner, np.arange(shards + 1))
         rows += [(block, s, k, pack_keys(known[a:b], k), *pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    rows.append((block, 0, 0, check.to_bytes(8, "little"), *pack_counts(np.array([train.sum()]))))  # k = 0: documents in training, and a digest of what was asked
     return as_table(rows, ["block", "shard", "k", "keys", "low", "high"], [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
@@ -157,6 +159,7 @@ def answer(table: pa.Table) -> pa.Table:
         counts = [unpack_counts(a, b) for a, b in zip(part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)]
         if k == 0:
             rows.append((None, shard, 0, b"", b"", 0, 0, 0, 0, int(sum(c.sum() for c in counts))))
+            rows += [(blocks[i], shard, 0, check, b"", 0, 0, 0, 0, 0) for i, check in zip(at.tolist(), part.column("keys").to_pylist(), strict=True)]
             continue
         keys = [unpack_keys(x, k) for x in part.column("keys").to_pylist()]
         sizes = np.cumsum([len(x) for x in keys])[:-1]
@@ -272,13 +275,16 @@ def score_block(docs: pa.Table, answers: pa.Table, totals: Totals, settings: Set
     tokens, starts = sequences(docs)
     got = sorted(zip(answers.column("k").to_pylist(), answers.column("shard").to_pylist(), range(answers.num_rows), strict=True))
     low, high = answers.column("low").to_pylist(), answers.column("high").to_pylist()
-    found = []
+    found, check = [], 0
     for k in range(1, settings.order + 1):
         last, known, which = distinct(tokens, starts, k)
+        check = (check + int(known.sum(dtype=np.uint64)) * (2 * k + 1)) % (1 << 64)
         counts = np.concatenate([np.zeros(0, np.int64), *[unpack_counts(low[i], high[i]) for kk, _, i in got if kk == k]])
         if len(counts) != len(known):
-            raise RuntimeError(f"a block asked for other {k}-grams than its texts hold: write the rows down first (stable=False)")
+            break
         found.append((last, which, counts))
+    if len(found) < settings.order or [low[i] for k, _, i in got if k == 0] != [check.to_bytes(8, "little")]:
+        raise RuntimeError("a block asked for other n-grams than its texts hold: write the rows down first (stable=False)")
     a = Automaton(len(tokens), starts, found, totals, settings)
     last, which, counts = found[0]
     n, doc = docs.num_rows, np.repeat(np.arange(docs.num_rows), np.diff(starts))[last]
@@ -305,7 +311,7 @@ def blocks(batches, most: int):
         yield f"{part}.{number}", pa.Table.from_batches(held)
 
 
-def score(docs: DataFrame, settings: Settings | None = None, stable: bool = True) -> DataFrame:
+def score(docs: DataFrame, settings: Settings | None = None, stable: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text).
 
     stable: docs gives the same rows in the same order in each of its partitions whenever it is read.

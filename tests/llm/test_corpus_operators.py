@@ -122,15 +122,21 @@ def test_arcs_and_failures_of_a_state_are_a_distribution():
 
 def test_a_block_with_other_rows_than_it_asked_for_is_refused():
     docs = pa.table({"doc_id": [1], "text": ["a b"], "block": ["0.0"], "place": [0]})
-    told = pa.table({"block": ["0.0"], "shard": [0], "k": pa.array([1], pa.int32()), "low": [b"\x01"], "high": [b""]})
-    with pytest.raises(RuntimeError):
-        lm.score_block(docs, told, lm.Totals(1, 1, 1, 0, 1), lm.Settings())
+    right = lm.ask("0.0", docs, lm.Settings(), 1)
+    told = right.set_column(3, "low", right.column("low")).select(["block", "shard", "k", "low", "high"])
+    check = right.column("keys")[-1].as_py()
+    told = told.set_column(3, "low", pa.array([*told.column("low").to_pylist()[:-1], check], pa.binary()))
+    totals = lm.Totals(1, 1, 1, 0, 1)
+    assert lm.score_block(docs, told, totals, lm.Settings()).num_rows == 1
+    for text in ("a b c", "a c"):  # other n-grams, in another number or not
+        with pytest.raises(RuntimeError):
+            lm.score_block(docs.set_column(1, "text", pa.array([text])), told, totals, lm.Settings())
 
 
 def test_scores_of_rows_that_are_computed_anew(spark, sf):
     docs = queries.table(spark, sf, "documents")
-    got = lm.score(docs.repartition(3), lm.Settings(block_bytes=50_000), stable=False).collect()
-    want = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
+    got = lm.score(docs.repartition(3), lm.Settings(block_bytes=50_000)).collect()
+    want = {r["doc_id"]: r["score"] for r in lm.score(docs, stable=True).collect()}
     assert len(got) == len(want) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
 
 
@@ -455,5 +461,6 @@ def test_mixing_prefers_quality(spark):
 
 
 def test_nothing_to_plan_runs_python_in_the_mix(spark, sf):
-    plan = mixing.mix_sources(queries.table(spark, sf, "documents"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for mix in (mixing.mix_sources, mixing.repeated):
+        plan = mix(queries.table(spark, sf, "documents"))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)

@@ -119,7 +119,7 @@ def slices(spark):
 
 OPERATORS = {
     "op1": lambda spark, d, tmp: license.scan(d),
-    "op2": lambda spark, d, tmp: lm.score(d.orderBy("doc_id").coalesce(1) if d.rdd.getNumPartitions() == 1 else d, stable=False).select("doc_id", "n_tokens", "n_known", F.round("base_score", 3).alias("b"), F.round("score", 3).alias("s")),
+    "op2": lambda spark, d, tmp: lm.score(d).select("doc_id", "n_tokens", "n_known", F.round("base_score", 3).alias("b"), F.round("score", 3).alias("s")),
     "op3": lambda spark, d, tmp: packing.cut(d, queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken"), 1024, 0, 16).select("doc_id", "doc_tokens", F.crc32("full").alias("f"), F.crc32("ids").alias("i")),
     "op5": lambda spark, d, tmp: (warc.write(d.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html")), tmp), warc.read(spark, tmp).select("page_id", "payload_digest", "payload_bytes"))[1],
     "op6": lambda spark, d, tmp: pii.find(d),
