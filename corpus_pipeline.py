@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 @shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), f"stage_{name}")
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
