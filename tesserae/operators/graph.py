@@ -12,6 +12,8 @@ import heapq
 import math
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from tesserae.plans.ir import EngineError
 from tesserae.storage import counted, cut, discard
 
-#: Edges that a broadcast graph may have.
+#: Edges that a broadcast graph, or a graph in one task, may have.
 MOST_EDGES = 5_000_000
 
 
@@ -60,13 +62,42 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     return parts.groupBy("node").agg(F.sum(F.col("o") + F.col("i")).alias("total"), F.sum("o").alias("out"), F.sum("i").alias("in"))
 
 
+def in_one_task(e: DataFrame, run, schema: str) -> DataFrame:
+    """run(source numbers, destination numbers, node names) -> (columns of the result) over edges (src, dst), whose number
+    the caller has checked: arrays in one task in place of a job for each round."""
+    kind = e.schema["src"].dataType.simpleString()
+    schema = schema.format(node=kind)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def over(table: pa.Table) -> pa.Table:
+        both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks]).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = table.num_rows
+        return pa.table(run(code[:n], code[n:], both.dictionary), names=names)
+
+    return e.select("src", "dst", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(over, schema)
+
+
 def pagerank(edges: DataFrame, undirected: bool = False, theta: float = 0.85, epsilon: float = 1e-4, iterations: int = 10) -> DataFrame:
     """Rank (1 - theta) / n plus theta times what in-neighbours pass on; dangling ranks are not dealt out anew.
 
     A round is one aggregate over the edges, summed before its shuffle, and one job: how far ranks
-    moved is seen while they are written.
+    moved is seen while they are written. At most MOST_EDGES edges are arrays in one task instead.
     """
-    e = edges_of(edges, undirected).select("src", "dst")
+    e, n_edges = counted(edges_of(edges, undirected).select("src", "dst"))
+
+    def arrays(src, dst, nodes):
+        n = len(nodes)
+        share, ranks = 1.0 / np.maximum(np.bincount(src, minlength=n), 1), np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            new = (1 - theta) / n + theta * np.bincount(dst, weights=(ranks * share)[src], minlength=n)
+            moved, ranks = float(np.abs(new - ranks).sum()), new
+            if moved < epsilon:
+                break
+        return [nodes, pa.array(ranks)]
+
+    if n_edges <= MOST_EDGES:
+        return in_one_task(e, arrays, "node {node}, rank double")
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     e = cut(e.join(degree, "src"))
     nodes, n = counted(nodes_of(e))
@@ -110,12 +141,32 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node reached. Large-star and small-star rounds."""
-    e = edges_of(edges)
-    pairs = smallest_reached(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    e, n_edges = counted(edges_of(edges).select("src", "dst", "weight"))
+    if n_edges <= MOST_EDGES:
+        pairs = in_one_task(e, small_components, "u {node}, v {node}")
+    else:
+        pairs = smallest_reached(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     found = pairs.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     return nodes_of(e, nodes).join(found, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_v", "node").alias("component"))
 
 
+def small_components(src: np.ndarray, dst: np.ndarray, nodes: pa.Array) -> list[pa.Array]:
+    """Each node and the smallest that it reaches: labels pass along all edges at once, and along themselves."""
+    order = np.argsort(nodes.to_numpy(zero_copy_only=False), kind="stable") if nodes.null_count == 0 else np.array(sorted(range(len(nodes)), key=lambda i: (nodes[i].as_py() is not None, nodes[i].as_py())))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    a, b, label = rank[src], rank[dst], np.arange(len(order))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label != label[label]).any():
+            label = label[label]
+        if (label == before).all():
+            return [nodes.take(pa.array(order)), nodes.take(pa.array(order[label]))]
+
+
 def smallest_reached(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(u, v): for each node of links(a, b) but the smallest of its component, that smallest one.
 

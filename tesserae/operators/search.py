@@ -242,10 +242,31 @@ def analysed(node, analyse):
     return (node[0], [analysed(x, analyse) for x in node[1]])
 
 
+def literals(node) -> set[tuple[str, bool]]:
+    """(word, whether a prefix) of all literals in a query."""
+    if node[0] == "literal":
+        return {(node[1], node[2])}
+    inner = node[1:] if node[0] == "not" else node[1]
+    return {x for n in inner for x in literals(n)}
+
+
+def has_near(node) -> bool:
+    if node[0] in ("literal", "near"):
+        return node[0] == "near"
+    return any(has_near(n) for n in (node[1:] if node[0] == "not" else node[1]))
+
+
 def full_text(index: DataFrame, n_docs: int, query, analyse, k: int | None, kind: str = "tf_idf") -> DataFrame:
     """(key, score): index is postings(); only the rows of the query's tokens leave the scan, with positions for NEAR alone."""
     texts = [query] if isinstance(query, str) else list(query)
     trees = [analysed(TextQuery(t).parse(), analyse) for t in texts if t.strip()]
+    if trees:  # one pass over the index; what follows reads the rows of the query's words alone
+        wanted, near = literals(("or", trees)), any(has_near(t) for t in trees)
+        exact, prefixes = sorted({w for w, prefix in wanted if not prefix}), sorted({w for w, prefix in wanted if prefix})
+        test = F.col("token").isin(exact) if exact else F.lit(False)
+        for w in prefixes:
+            test = test | F.col("token").startswith(w)
+        index = cut(index.where(test).select("token", "key", "tf", *["positions"] * near))
 
     def weight(tf, n, boost):
         if kind == "tf":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.plans.ir import EngineError
 from tesserae.plans.parser import parse
 from tesserae.registry import plan, script
-from tesserae.session import Session
+from tesserae.session import NamedRows, Session
 from tesserae.storage import shared_dir
 
 # --- mutations ----------------------------------------------------------------------------------------------
@@ -147,6 +147,21 @@ def run_json(t, spark):
     return spark.createDataFrame([*map(tuple, fine["rows"]), (-1, str(wrong["ok"]).lower())], "k long, n string")
 
 
+@plan("named_rows", "SELECT n_nationkey::BIGINT AS k, n_name AS n FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey < 2")
+def named_rows(t, spark):
+    """Two results, through JSON and back, put into a relation."""
+    db = Session(spark)
+    db.register("nation", t("nation"), ["n_nationkey"])
+    found = db.run_named("%return {?[k, n] := *nation{n_nationkey: k, n_name: n}, k < 5}, {?[k, n] := *nation{n_nationkey: x, n_name: n}, x < 2, k = x + 100}")
+    assert found.has_more
+    parts = NamedRows.from_json(json.loads(json.dumps(found.into_json()))).flatten()
+    db.run("?[k, n] <- [[-1, '']] :create r {k: Int => n: String}")
+    db.run("?[k] <- [[-1]] :rm r {k}")
+    for part in parts:
+        db.run(*part.into_payload("r", "put"))
+    return db.run("?[k, n] := *r{k, n}")
+
+
 @plan("export_import", ALL + " WHERE n_regionkey <> 0 UNION ALL SELECT 500, 'imported', 5")
 def export_import(t, spark):
     db = Session(spark)

@@ -8,7 +8,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +71,10 @@ class Session:
                 return self.imperative(what, read_only)
             return [self.program(what, read_only)]
 
+    def run_named(self, script: str, params: dict | None = None, read_only: bool = False) -> NamedRows:
+        """All results of a script, collected."""
+        return NamedRows.collected(self.run_all(script, params, read_only))
+
     def run_program(self, program: ir.Program, read_only: bool = False) -> DataFrame:
         """Run a program that parse() gave."""
         with self.lock, self.atomic():
@@ -460,8 +464,45 @@ class Session:
         return ir.variables(parse_expression(expression, params))
 
 
+@dataclass
+class NamedRows:
+    """Collected results with their headers, and the result after this one where a script returns several."""
+
+    headers: list[str]
+    rows: list[list]
+    next: NamedRows | None = None
+
+    @classmethod
+    def collected(cls, frames: list[DataFrame]) -> NamedRows:
+        out = None
+        for df in reversed(frames):
+            out = cls(df.columns, [list(r) for r in df.collect()], out)
+        return out
+
+    @property
+    def has_more(self) -> bool:
+        return self.next is not None
+
+    def flatten(self) -> list[NamedRows]:
+        """Each result by itself."""
+        one = NamedRows(self.headers, self.rows)
+        return [one, *self.next.flatten()] if self.next else [one]
+
+    def into_json(self) -> dict:
+        return {"headers": self.headers, "rows": self.rows, "next": self.next.into_json() if self.next else None}
+
+    @classmethod
+    def from_json(cls, value: dict) -> NamedRows:
+        return cls(list(value["headers"]), [list(r) for r in value["rows"]], cls.from_json(value["next"]) if value.get("next") else None)
+
+    def into_payload(self, relation: str, op: str) -> tuple[str, dict]:
+        """A script and its parameters that run `op` (put, rm, ...) on a relation with these rows."""
+        names = ", ".join(self.headers)
+        return f"?[{names}] <- $data :{op} {relation} {{{names}}}", {"data": self.rows}
+
+
 def status(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("OK",)], "status string")
 
 
-__all__ = ["EngineError", "Session"]
+__all__ = ["EngineError", "NamedRows", "Session"]

@@ -177,6 +177,36 @@ def test_depth_first_search_against_a_plain_one(spark):
     assert [tuple(r) for r in got] == found
 
 
+@pytest.mark.parametrize("most", [0, 5_000_000])
+def test_ranks_and_components_in_one_task_and_round_by_round(spark, monkeypatch, most):
+    import random
+
+    from tesserae.operators import graph
+
+    monkeypatch.setattr(graph, "MOST_EDGES", most)
+    rng = random.Random(5)
+    edges = list({(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)}) + [(f"m{i}", f"m{i + 1}") for i in range(20)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a string, b string")
+    assert {r["node"]: r["component"] for r in graph.connected_components(df).collect()} == {x: find(x) for x in up}
+    out = {x: sum(a == x for a, _ in edges) for x in up}
+    rank = {x: 1 / len(up) for x in up}
+    for _ in range(4):
+        rank = {x: 0.15 / len(up) + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == x) for x in up}
+    got = {r["node"]: r["rank"] for r in graph.pagerank(df, epsilon=0.0, iterations=4).collect()}
+    assert set(got) == set(rank) and all(math.isclose(got[x], rank[x], rel_tol=1e-9) for x in rank)
+    assert graph.pagerank(df.limit(0)).count() == 0 and graph.connected_components(df.limit(0)).count() == 0
+
+
 def test_louvain_finds_better_groups_than_none(spark):
     from tesserae.operators import graph
 
