@@ -123,7 +123,7 @@ def test_arcs_and_failures_of_a_state_are_a_distribution():
 def test_a_block_with_other_rows_than_it_asked_for_is_refused():
     docs = pa.table({"doc_id": [1], "text": ["a b"], "block": ["0.0"], "place": [0]})
     right = lm.ask("0.0", docs, lm.Settings(), 1)
-    told = right.set_column(3, "low", right.column("low")).select(["block", "shard", "k", "low", "high"])
+    told = right.select(["block", "shard", "k", "low", "high"])
     check = right.column("keys")[-1].as_py()
     told = told.set_column(3, "low", pa.array([*told.column("low").to_pylist()[:-1], check], pa.binary()))
     totals = lm.Totals(1, 1, 1, 0, 1)
