@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -48,7 +49,7 @@ class Settings:
     order: int = 3
     #: Of contexts of one word, two words, ...: what fit_mu() takes of 10 to 400 by 0.5 to 40, for the held-out tenth of sf0.01.
     mu: tuple = (400.0, 0.5)
-    block_bytes: int = 8 << 20  # of text in a block; more where a corpus has very many blocks
+    block_bytes: int = 6 << 20  # of text in a block; more where a corpus has very many blocks
     blocks_a_shard: int = 2
     folds: int = 10
     base_add: float = 0.1
@@ -74,13 +75,17 @@ def grams(tokens: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, n
     n = len(tokens) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    last = np.arange(k - 1, len(tokens))
-    h = tokens[:n].copy()
+    # inside a text, and not at its start: that many places after the text's beginning
+    fine = np.ones(len(tokens), bool)
+    for j in range(max(1, k - 1)):
+        at = starts[:-1] + j
+        fine[at[at < starts[1:]]] = False
+    last = np.flatnonzero(fine)
+    last = last[last >= k - 1]
+    h = tokens[last - (k - 1)]
     for j in range(1, k):
-        h = mix(h) + tokens[j : j + n]
-    fine = (doc[last] == doc[last - k + 1]) & (tokens[last] != START)
-    return last[fine], mix(h[fine] + np.uint64(k))
+        h = mix(h) + tokens[last - (k - 1) + j]
+    return last, mix(h + np.uint64(k))
 
 
 def training(ids: list, folds: int) -> np.ndarray:
@@ -198,7 +203,7 @@ class Automaton:
         n, t = settings.order, totals
         #: for each order: at each place, the weight of the arc over its word (NaN: no arc), and the state it leads to
         self.arc = np.full((n, size), np.nan)
-        self.to = np.zeros((n, size), np.int64)
+        self.to = np.zeros((n, size), np.int32)
         fail, fail_weight, depth = [np.array([0, 0])], [np.array([0.0, self.backoff(t.docs, settings.mu[0]) if n > 1 else 0.0])], [np.array([0, 1])]
         self.unknown = math.log10(t.discount * t.types / t.tokens) if t.tokens else 0.0
         states = 2
@@ -234,19 +239,26 @@ class Automaton:
                 own[starts[:-1]], own_count[starts[:-1]] = self.begin, t.docs
             self.to[k - 1, at] = own[at]
             state_at, count_at = own, own_count
-        self.fail, self.fail_weight, self.depth = np.concatenate(fail).tolist(), np.concatenate(fail_weight).tolist(), np.concatenate(depth).tolist()
+        # as flat arrays that give plain numbers: lists of number objects take several times the memory
+        self.fail, self.fail_weight = array("q", np.concatenate(fail).astype(np.int64).tobytes()), array("d", np.concatenate(fail_weight).astype(float).tobytes())
+        self.depth = np.concatenate(depth).astype(np.uint8).tobytes()
 
     @staticmethod
     def backoff(count, mu: float):
         """Log weight that a context seen so often gives to its lower order."""
         return np.log10(mu / (np.asarray(count, float) + mu))
 
+    def places(self, first: int, end: int):
+        """Arcs and destinations of each place, some thousands of them at a time as plain numbers."""
+        for at in range(first, end, 1 << 13):
+            upto = min(end, at + (1 << 13))
+            yield from zip(self.arc[:, at:upto].T.tolist(), self.to[:, at:upto].T.tolist(), strict=True)
+
     def read(self, first: int, end: int) -> float:
         """The log10 weight of the text at places [first, end): one pass that carries the state."""
-        arcs, to = self.arc[:, first:end].T.tolist(), self.to[:, first:end].T.tolist()
         fail, fail_weight, depth = self.fail, self.fail_weight, self.depth
         state, total = self.begin, 0.0
-        for arc, dest in zip(arcs, to, strict=True):
+        for arc, dest in self.places(first, end):
             d = depth[state]
             w = arc[d]
             while w != w:  # no arc here
@@ -285,10 +297,10 @@ def score_block(docs: pa.Table, answers: pa.Table, totals: Totals, settings: Set
         found.append((last, which, counts))
     if len(found) < settings.order or [low[i] for k, _, i in got if k == 0] != [check.to_bytes(8, "little")]:
         raise RuntimeError("a block asked for other n-grams than its texts hold: write the rows down first (stable=False)")
-    a = Automaton(len(tokens), starts, found, totals, settings)
     last, which, counts = found[0]
-    n, doc = docs.num_rows, np.repeat(np.arange(docs.num_rows), np.diff(starts))[last]
-    c = counts[which]
+    n, doc, c = docs.num_rows, np.repeat(np.arange(docs.num_rows), np.diff(starts))[last], counts[which]
+    a = Automaton(len(tokens), starts, found, totals, settings)
+    del found, which, counts, low, high, got, tokens
     base = np.bincount(doc, weights=np.log10((c + settings.base_add) / (totals.tokens + settings.base_add * (totals.types + 1))), minlength=n)
     score = [a.read(i + 1, j) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
     held = ~training(docs.column("doc_id").to_pylist(), settings.folds)
