@@ -15,7 +15,7 @@ script("math_haversine", "?[k, d] := *supplier{s_suppkey: k}, d = round(haversin
 script("math_least_greatest", "?[k, a, b] := *part{p_partkey: k, p_size: s}, a = max(s, 25, k % 60), b = min(s, 25, k % 60)", "SELECT p_partkey AS k, greatest(p_size, 25, p_partkey % 60) AS a, least(p_size, 25, p_partkey % 60) AS b FROM part")
 script("comparisons", "?[k, a, b, c, d, e] := *part{p_partkey: k, p_size: s, p_type: t}, a = s >= 10 && s <= 20, b = ge(s, 30) || le(s, 5), c = !(s > 25), d = negate(t == 'ECONOMY'), e = assert(s >= 0, 'a size')", "SELECT p_partkey AS k, p_size >= 10 AND p_size <= 20 AS a, p_size >= 30 OR p_size <= 5 AS b, NOT p_size > 25 AS c, p_type <> 'ECONOMY' AS d, true AS e FROM part")
 script("boolean_functions", "?[k, a, b] := *part{p_partkey: k, p_size: s}, a = and(s > 10, s < 40, k % 2 == 0), b = or(s < 10, s > 40, k % 3 == 0)", "SELECT p_partkey AS k, p_size > 10 AND p_size < 40 AND p_partkey % 2 = 0 AS a, p_size < 10 OR p_size > 40 OR p_partkey % 3 = 0 AS b FROM part")
-script("operator_precedence", "?[k, a, b, c, d] := *nation{n_nationkey: k}, a = 1 + 2 * k - 3, b = -k ^ 2 + 10 % 4, c = k > 3 || k < 1 && k == 0, d = 2 * (k + 1) ^ 2", "SELECT n_nationkey AS k, 1 + 2 * n_nationkey - 3 AS a, (n_nationkey * n_nationkey)::DOUBLE + 2 AS b, n_nationkey > 3 OR n_nationkey < 1 AND n_nationkey = 0 AS c, 2 * (n_nationkey + 1)::DOUBLE ^ 2 AS d FROM nation")
+script("operator_precedence", "?[k, a, b, c, d] := *nation{n_nationkey: k}, a = 1 + 2 * k - 3, b = -k ^ 2 + 10 % 4, c = k > 3 || k < 1 && k == 0, d = 2 * (k + 1) ^ 2", "SELECT n_nationkey AS k, 1 + 2 * n_nationkey - 3 AS a, ((n_nationkey * n_nationkey + 10) % 4)::DOUBLE AS b, n_nationkey > 3 OR n_nationkey < 1 AND n_nationkey = 0 AS c, 2 * (n_nationkey + 1)::DOUBLE ^ 2 AS d FROM nation")
 script("literals", "# a comment\n?[k, h, f, s, r, n] := *region{r_regionkey: k}, /* and /* a nested */ one */ h = 0x1f + 0b101 + 0o17 + 1_000, f = 1.5e2, s = 'it\\'s \\u00e9', r = ___\"a\"b\"___, n = null", "SELECT r_regionkey AS k, CAST(1051 AS BIGINT) AS h, 150.0::DOUBLE AS f, 'it''s é' AS s, 'a\"b' AS r, NULL AS n FROM region", shape=lambda df: df.withColumn("n", F.col("n").cast("int")))
 script("parameters", "?[k, t] := *orders{o_orderkey: k, o_totalprice: t, o_orderpriority: $p}, t > $least, k in $some", "SELECT o_orderkey AS k, o_totalprice AS t FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 1000.5 AND o_orderkey % 2 = 0 AND o_orderkey < 100", params={"p": "2-HIGH", "least": 1000.5, "some": list(range(0, 100, 2))})
 script("wildcards", "?[p] := *orders{o_orderpriority: p, o_custkey: _, o_orderkey: _}", "SELECT DISTINCT o_orderpriority AS p FROM orders")
