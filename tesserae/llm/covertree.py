@@ -3,13 +3,18 @@
 Vectors are scaled to length one, where cosine >= t is distance <= sqrt(2 - 2t). Equal vectors of a
 label become one class first. Classes are dealt into cells: the nearest of a label's pivots, as
 many as its size asks for; a class also visits each other cell whose ball (covering radius plus
-threshold) it may reach. Cells that are still too large are dealt again by pivots of their own, and
-visitors with them, round by round. In each cell, a cover tree (nested levels, radii halving, the
-covering radius of each node measured) holds the residents, another the visitors, and a dual
-traversal compares node pairs, whole groups of children at a time. Pairs whose centres are further
-apart than both covering radii and the threshold hold no link; pairs whose centres and both radii
-are within the threshold hold nothing else, and are counted whole. What is left at the leaves is
-compared itself.
+threshold) it may reach. Cells that still have too many residents are dealt again by pivots of their
+own, and visitors with them, round by round. In each cell, a cover tree (nested levels, radii halving,
+the covering radius of each node measured) holds the residents, others the visitors, some thousands
+each, and a dual traversal compares node pairs, whole groups of children at a time. Pairs whose
+centres are further apart than both covering radii and the threshold hold no link; pairs whose
+centres and both radii are within the threshold hold nothing else, and are counted whole. What is
+left at the leaves is compared itself.
+
+Vectors spread evenly over many dimensions visit almost every cell, and no bound tells them apart: all
+pairs of a label are compared then, as products of matrices. So few of them are shipped as cells are
+large, visitors do not count for whether a cell is dealt again, a cell's many visitors meet its
+residents in tasks of their own, and the small groups of a tree share leaves.
 
 A cell returns, per class, how many vectors it links with, and a spanning forest of its links, not
 the links: linear in its members, however close they are. Components are joined over all cells.
@@ -42,9 +47,11 @@ BOUND = 1e-6  # bounds of balls are loosened by this much, so that rounding neve
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.98
-    cell: int = 4096  # classes that a cell is meant to hold
+    cell: int = 16384  # residents that a cell is meant to hold
+    visitors: int = 65536  # that meet a cell's residents in one task
     most_pivots: int = 256  # of a cell at a time; larger cells are dealt again
     leaf: int = 32
+    shared: int = 512  # points of a leaf that small groups share
     chunk: int = 4096  # rows that meet a cell's pivots in one task
 
     @property
@@ -70,16 +77,23 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def net(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
     """Groups of points around centres (the first of each) that are more than radius apart."""
-    left, groups = points, []
+    left, groups, most = points, [], 1
     while len(left):
-        near = distances(x[left[:1]], x[left])[0] <= radius
-        near[0] = True
-        groups.append(left[near])
-        left = left[~near]
+        # the next candidates at once, more of them where most turned out to be centres
+        near = distances(x[left[:most]], x[left]) <= radius
+        taken, centres = np.zeros(len(left), bool), 0
+        for i in range(len(near)):
+            if not taken[i]:
+                own = near[i] & ~taken
+                own[i] = True
+                taken |= own
+                groups.append(left[own])
+                centres += 1
+        left, most = left[~taken], min(256, 2 * centres)
     return groups
 
 
-def build(x: np.ndarray, points: np.ndarray, radius: float, leaf: int) -> Node:
+def build(x: np.ndarray, points: np.ndarray, radius: float, leaf: int, shared: int = 512) -> Node:
     """A node over points within `radius` of the first one, its children nested at half the radius."""
     centre = x[points[0]]
     covering = float(distances(centre[None], x[points])[0].max())
@@ -91,11 +105,11 @@ def build(x: np.ndarray, points: np.ndarray, radius: float, leaf: int) -> Node:
     groups = net(x, points, half) if half > BOUND else [points]
     if len(groups) == 1:
         return Node(centre, covering, [], points)
-    # centres that cover nothing else need no level of their own: they wait in shared leaves
-    alone = np.array([g[0] for g in groups if len(g) == 1], np.int64)
-    children = [build(x, g, half, leaf) for g in groups if len(g) > 1]
-    for i in range(0, len(alone), 512):
-        part = alone[i : i + 512]
+    # small groups need no level of their own, and as nodes would meet each other one by one: they wait in shared leaves
+    children = [build(x, g, half, leaf, shared) for g in groups if len(g) > leaf]
+    few = np.concatenate([np.empty(0, np.int64), *[g for g in groups if len(g) <= leaf]])
+    for i in range(0, len(few), shared):
+        part = few[i : i + shared]
         children.append(Node(x[part[0]], float(distances(x[part[:1]], x[part])[0].max()), [], part))
     return Node(centre, covering, children, points)
 
@@ -153,11 +167,11 @@ class Forest:
         return True
 
 
-def link_cell(x: np.ndarray, sizes: np.ndarray, home: np.ndarray, s: Settings) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def link_cell(x: np.ndarray, sizes: np.ndarray, home: np.ndarray, s: Settings, among: bool = True) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For the members of a cell: how many vectors each links with here, and the links of a spanning forest.
 
-    A resident meets residents and visitors here; visitors do not meet each other (one of their
-    cells is at home to either).
+    A resident meets residents (unless not `among`: another task of the cell does that) and visitors here;
+    visitors do not meet each other (one of their cells is at home to either).
     """
     n = len(x)
     counts, forest, edges = np.zeros(n, np.int64), Forest(n), []
@@ -167,9 +181,12 @@ def link_cell(x: np.ndarray, sizes: np.ndarray, home: np.ndarray, s: Settings) -
         for at in range(0, len(p), 1024):
             part = p[at : at + 1024]
             close = x[part] @ x[q].T
-            i, j = np.nonzero(close >= s.cosine - SLACK)
+            found = close >= s.cosine - SLACK
+            if not found.any():
+                continue
+            i, j = np.nonzero(found)
+            near = np.abs(close[i, j] - s.cosine) <= SLACK
             i, j = part[i], q[j]
-            near = np.abs(close[close >= s.cosine - SLACK] - s.cosine) <= SLACK
             if near.any():  # products of different shapes round differently: decide by one rule
                 exact = np.einsum("ij,ij->i", x[i[near]], x[j[near]])
                 fine = np.ones(len(i), bool)
@@ -213,10 +230,12 @@ def link_cell(x: np.ndarray, sizes: np.ndarray, home: np.ndarray, s: Settings) -
             edges.append((u, v))
 
     if len(residents):
-        tree = build(x, residents, 2.0, s.leaf)
-        dual(tree, tree, s.reach, lambda p, q: compare(p, q, p is q), whole)
-        if len(visitors):
-            dual(tree, build(x, visitors, 2.0, s.leaf), s.reach, lambda p, q: compare(p, q, False), whole)
+        tree = build(x, residents, 2.0, s.leaf, s.shared)
+        if among:
+            dual(tree, tree, s.reach, lambda p, q: compare(p, q, p is q), whole)
+        # the making of a tree of scattered points takes as long as comparing them all: several smaller ones
+        for at in range(0, len(visitors), s.chunk):
+            dual(tree, build(x, visitors[at : at + s.chunk], 2.0, s.leaf, s.shared), s.reach, lambda p, q: compare(p, q, False), whole)
     return counts, edges
 
 
@@ -282,7 +301,7 @@ def near_pivots(members: DataFrame, few: DataFrame, schema: str, run) -> DataFra
 def cells(classes: DataFrame, s: Settings) -> DataFrame:
     """Each class at home in one cell of its (label, dimension), and a visitor where it may link.
 
-    A round deals all members of cells that are too large: residents go to the nearest pivot, then residents
+    A round deals all members of cells with too many residents: residents go to the nearest pivot, then residents
     and visitors visit where they may reach. Of two new cells that two residents come from, the one with the
     smaller number is the host. Cells that a round hardly made smaller are left as they are.
     """
@@ -294,7 +313,7 @@ def cells(classes: DataFrame, s: Settings) -> DataFrame:
     while True:
         members = materialise(members, "cover_members")
         counts = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("all"), F.count_if("home").alias("own"), F.min(F.when(F.col("home"), F.col("node"))).alias("least"), F.first("above").alias("above"))
-        large = (F.col("all") > 2 * s.cell) & (F.col("own") > 1) & (F.col("above").isNull() | (F.col("all") < 0.8 * F.col("above")))
+        large = (F.col("own") > 2 * s.cell) & (F.col("own") > 1) & (F.col("above").isNull() | (F.col("own") < 0.8 * F.col("above")))
         counts = materialise(counts.withColumn("large", large), "cover_counts", n=F.count_if(large))
         if not counts.seen["n"]:
             return (members if done is None else done.unionByName(members)).drop("above")
@@ -306,8 +325,8 @@ def cells(classes: DataFrame, s: Settings) -> DataFrame:
         # a hash threshold keeps about twice the pivots wanted, and the smallest class stands for a cell where none passes
         passes = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 20)) <= F.lit(float(1 << 20)) * (2 * F.col("want") + 8) / F.col("own")
         few = members.where("home").join(named, on).where(passes | (F.col("node") == F.col("least")))
-        few = few.groupBy(*cell, "want", "all").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-        few = few.select(*cell, F.slice("units", F.lit(1), F.col("want").cast("int")).alias("pivots"), F.ceil(F.col("all") / F.lit(s.chunk)).alias("chunks"), "all")
+        few = few.groupBy(*cell, "want", "all", "own").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+        few = few.select(*cell, F.slice("units", F.lit(1), F.col("want").cast("int")).alias("pivots"), F.ceil(F.col("all") / F.lit(s.chunk)).alias("chunks"), "own")
         few = materialise(few, "cover_pivots")
         large_ones = members.join(named.select("_label", "_dim", "_cell"), on, "left_semi")
 
@@ -316,7 +335,7 @@ def cells(classes: DataFrame, s: Settings) -> DataFrame:
             return rows.append_column("far", pa.array(d.min(axis=1))).set_column(rows.schema.get_field_index("above"), "above", pa.array(d.argmin(axis=1).astype(np.int64)))
 
         # for residents, `above` holds the number of the nearest pivot until the new cells have names
-        placed = materialise(near_pivots(large_ones.where("home"), few.drop("all"), schema, place), "cover_home")
+        placed = materialise(near_pivots(large_ones.where("home"), few.drop("own"), schema, place), "cover_home")
         radii = placed.groupBy(*cell, "above").agg(F.max("far").alias("radius")).groupBy(*cell).agg(F.collect_list(F.struct("above", "radius")).alias("radii"))
         both = materialise(few.join(radii, cell), "cover_radii")
 
@@ -339,13 +358,23 @@ def cells(classes: DataFrame, s: Settings) -> DataFrame:
             out = out.set_column(out.schema.get_field_index("home"), "home", pa.array(np.arange(len(at)) < len(own)))
             return out.append_column("far", pa.array(np.zeros(len(at))))
 
-        dealt = near_pivots(large_ones, both.drop("all"), schema, visit).drop("above", "far")
-        # the size of the cell that a new cell comes from
-        parents = few.select("label", "dim", F.col("cell").alias("_parent"), F.col("all").alias("above"))
+        dealt = near_pivots(large_ones, both.drop("own"), schema, visit).drop("above", "far")
+        # the residents of the cell that a new cell comes from
+        parents = few.select("label", "dim", F.col("cell").alias("_parent"), F.col("own").alias("above"))
         dealt = dealt.withColumn("_parent", F.regexp_replace("cell", r"\.[0-9]+$", "")).join(parents, ["label", "dim", "_parent"]).drop("_parent")
         members = dealt.select("node", "label", "dim", "cell", "home", "size", "unit", "above")
 
 
+def parted(members: DataFrame, s: Settings) -> DataFrame:
+    """members with `part`: the task of their cell. A cell with many visitors has several; its residents come to each."""
+    cell = ["label", "dim", "cell"]
+    wide = members.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("home")) / F.lit(s.visitors)).alias("parts")).where("parts > 1").select(*[F.col(c).alias(f"_{c}") for c in cell], "parts")
+    on = (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell"))
+    rows = members.join(wide, on, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    part = F.when(F.col("home"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
+    return rows.select(*members.columns, F.explode(part).alias("part"))
+
+
 def near_duplicates(vectors: DataFrame, settings: Settings | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, label, embedding)."""
     s = settings or Settings()
@@ -356,13 +385,13 @@ def near_duplicates(vectors: DataFrame, settings: Settings | None = None) -> Dat
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
         x = matrix(table.column("unit").to_pylist())
-        counts, edges = link_cell(x, table.column("size").to_numpy().astype(np.int64), np.array(table.column("home").to_pylist(), bool), s)
+        counts, edges = link_cell(x, table.column("size").to_numpy().astype(np.int64), np.array(table.column("home").to_pylist(), bool), s, among=table.column("part")[0].as_py() == 0)
         linked = np.flatnonzero(counts).tolist()
         rows = [(nodes[i], None, int(counts[i])) for i in linked] + [(nodes[i], nodes[j], 0) for i, j in edges]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
-    found = cells(classes, s).groupBy("label", "dim", "cell").applyInArrow(run, "a long, b long, links long")
+    found = parted(cells(classes, s), s).groupBy("label", "dim", "cell", "part").applyInArrow(run, "a long, b long, links long")
     found = materialise(found, "cover_links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))

@@ -383,6 +383,34 @@ def test_cover_tree_prunes():
     assert compared < alone / 10 and wholes > 50 * 40 * 39 // 2 * 0.9  # a dense cluster is counted, not compared
 
 
+def test_scattered_vectors_meet_in_few_products():
+    """Groups of two or three in a tree of scattered points are not compared node by node."""
+    x = np.random.default_rng(8).normal(size=(4000, 48))
+    x[2000:] = x[:2000] + np.random.default_rng(9).normal(size=(2000, 48)) * 0.4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    met = Counter()
+
+    def count(p, q):
+        met["products"] += 1
+        met["pairs"] += len(p) * (len(p) - 1) // 2 if p is q else len(p) * len(q)
+
+    tree = covertree.build(x, np.arange(4000), 2.0, 32)
+    covertree.dual(tree, tree, covertree.Settings().reach, count)
+    assert met["products"] < 100 and met["pairs"] <= 4000 * 3999 // 2
+
+
+def test_many_visitors_of_a_cell_meet_it_in_several_tasks(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, 1, [float(e) for e in v]) for i, v in enumerate(np.repeat(rng.normal(size=(130, 16)), 3, axis=0) + rng.normal(size=(390, 16)) * 0.1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    s = covertree.Settings(cell=40, visitors=30, leaf=4, shared=16, chunk=50)
+    members = covertree.cells(covertree.prepared(vectors).select(F.monotonically_increasing_id().alias("node"), "label", F.lit(16).alias("dim"), F.lit(1).cast("long").alias("size"), "unit"), s)
+    parts = covertree.parted(members, s).groupBy("cell", "part").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("seen")).collect()
+    assert len({r["cell"] for r in parts}) < len(parts) and len({(r["cell"], r["own"]) for r in parts}) == len({r["cell"] for r in parts})
+    assert sum(r["seen"] for r in parts) == members.where("not home").count() and members.where("home").count() == 390
+    assert check_vectors(vectors, s) > 100
+
+
 # --- mixing --------------------------------------------------------------------------------------------
 
 
