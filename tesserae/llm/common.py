@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.operators.graph import smallest_reached
-from tesserae.storage import discard, materialise, new_path
+from tesserae.operators.graph import in_one_task, small_components, smallest_reached
+from tesserae.storage import counted, discard, materialise, new_path
 
 #: ASCII white space, the only separator of words in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -122,8 +122,19 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
 # --- connected components -------------------------------------------------------------------------
 
 
+#: Links that one task joins, in arrays of some 200 MB.
+LINKS_IN_ONE_TASK = 2_000_000
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of links(a, b): root is the smallest node that it reaches."""
+    """(node, root) for each node of links(a, b): root is the smallest node that it reaches.
+
+    Few links are arrays in one task: the plans of a loop's rounds, with a dozen exchanges each, are most of
+    what the driver holds. More links are joined round by round, with equal results.
+    """
+    links, n = counted(links.select("a", "b").where("a <> b"))
+    if n <= LINKS_IN_ONE_TASK:
+        return materialise(in_one_task(links.toDF("src", "dst"), small_components, "node {node}, root {node}"), "components")
     pairs = smallest_reached(links, most_rounds)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

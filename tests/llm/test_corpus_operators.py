@@ -327,6 +327,21 @@ def test_components(spark):
     assert got == {i: r for i, r in want.items() if i in got} and all(i in got for a, b in links for i in (a, b) if a != b)
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """A chain, a star, a loop, repeated links and a pair: in one task, without a job for each round, and round by round."""
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 220)] + [(300, 301), (301, 302), (302, 300), (300, 301), (5, 5), (400, 3)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 220)]} | {300: 300, 301: 300, 302: 300, 400: 3, 3: 3}
+    spark.sparkContext.setJobGroup("few links", "")
+    rows = common.components(df).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["root"] for r in rows} == want and len(rows) == len(want) and len(jobs) <= 5
+    monkeypatch.setattr(common, "LINKS_IN_ONE_TASK", 10)
+    assert {r["node"]: r["root"] for r in common.components(df).collect()} == want
+    assert common.components(df.limit(0)).count() == 0
+
+
 def check_vectors(vectors, settings=None):
     s = settings or covertree.Settings()
     rows = [(r["vec_id"], r["label"], covertree.unit(r["embedding"])) for r in vectors.collect()]
