@@ -248,30 +248,28 @@ class Automaton:
         """Log weight that a context seen so often gives to its lower order."""
         return np.log10(mu / (np.asarray(count, float) + mu))
 
-    def places(self, first: int, end: int):
-        """Arcs and destinations of each place, some thousands of them at a time as plain numbers."""
-        for at in range(first, end, 1 << 13):
-            upto = min(end, at + (1 << 13))
-            yield from zip(self.arc[:, at:upto].T.tolist(), self.to[:, at:upto].T.tolist(), strict=True)
-
     def read(self, first: int, end: int) -> float:
         """The log10 weight of the text at places [first, end): one pass that carries the state."""
-        fail, fail_weight, depth = self.fail, self.fail_weight, self.depth
+        fail, fail_weight, depth, unknown, n = self.fail, self.fail_weight, self.depth, self.unknown, len(self.arc)
         state, total = self.begin, 0.0
-        for arc, dest in self.places(first, end):
-            d = depth[state]
-            w = arc[d]
-            while w != w:  # no arc here
-                if not d:
-                    total += self.unknown
-                    break
-                total += fail_weight[state]
-                state = fail[state]
+        # some thousands of places at a time as plain numbers, in one list: a list for each place takes longer than its arcs
+        for at in range(first, end, 1 << 13):
+            upto = min(end, at + (1 << 13))
+            arcs, dests = self.arc[:, at:upto].T.ravel().tolist(), self.to[:, at:upto].T.ravel().tolist()
+            for place in range(0, len(arcs), n):
                 d = depth[state]
-                w = arc[d]
-            else:
-                total += w
-                state = dest[d]
+                w = arcs[place + d]
+                while w != w:  # no arc here
+                    if not d:
+                        total += unknown
+                        break
+                    total += fail_weight[state]
+                    state = fail[state]
+                    d = depth[state]
+                    w = arcs[place + d]
+                else:
+                    total += w
+                    state = dests[place + d]
         return total
 
 
