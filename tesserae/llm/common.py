@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.operators.graph import in_one_task, small_components, smallest_reached
-from tesserae.storage import counted, discard, materialise, new_path
+from tesserae.storage import counted, discard, materialise, new_path, sorted_join
 
 #: ASCII white space, the only separator of words in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 ARROW_BYTES = 8 << 20
 
-__all__ = ["ARROW_BYTES", "SPACE", "buckets_for", "components", "discard", "hash_words", "materialise", "mix", "new_path", "running_total", "small_batches", "split_words", "windows"]
+__all__ = ["ARROW_BYTES", "SPACE", "buckets_for", "components", "discard", "hash_words", "materialise", "mix", "new_path", "running_total", "small_batches", "sorted_join", "split_words", "windows"]
 
 
 # --- words ---------------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, discard, hash_words, materialise, mix, small_batches, split_words, windows
+from tesserae.llm.common import components, discard, hash_words, materialise, mix, small_batches, sorted_join, split_words, windows
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(sorted_join(left), "a").join(sorted_join(right), "b")
 
     def run(batches):
         for big in batches:
@@ -137,7 +137,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """(node, shingles) of wanted(doc, digest, node): of the texts with the id doc, those with this digest."""
     kind = wanted.schema["doc"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "digest", "node")
+    texts = texts.join(sorted_join(wanted), F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "digest", "node")
 
     def run(batches):
         for batch in small_batches(batches, "text"):
@@ -249,7 +249,7 @@ def filtered_pairs(members: DataFrame, percent: int) -> DataFrame:
     both = F.array_intersect("px", "py")  # in the order of frequency
     least = F.expr(f"least(size(px) - nx, size(py) - ny) + ({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
     listed = F.col("px").isNull() | F.col("py").isNull() | (F.element_at(both, 1) == F.col("shingle")) & (F.size(both) >= least)
-    found = x.join(y, ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & order & may_link("nx", "ny", percent) & listed)
+    found = x.join(sorted_join(y), ["c", "shingle"]).where((F.col("rx") != F.col("ry")) & order & may_link("nx", "ny", percent) & listed)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -264,43 +264,43 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     shared = tables.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("c"))
     # a row for each class that shares a bucket, with its shared keys (m * m at most): what is known of a class is
     # joined to it once, and the keys are spelled out again after that
-    met = tables.join(shared, "key").groupBy("node").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("c") > 2, F.col("key"))).alias("large"))
+    met = tables.join(sorted_join(shared), "key").groupBy("node").agg(F.sum("c").alias("score"), F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("c") > 2, F.col("key"))).alias("large"))
     met = materialise(met, "minhash_met")
 
-    wanted = classes.join(met.select("node"), "node", "left_semi").select("doc", "digest", "node")
+    wanted = classes.join(sorted_join(met.select("node")), "node", "left_semi").select("doc", "digest", "node")
     sets = materialise(sets_of(docs, wanted, s).dropDuplicates(["node"]), "minhash_sets")
     profile = materialise(profiles(sets, s.percent), "minhash_profiles")
 
     # first step: each class against the class of its bucket that meets most others over all buckets
     # (the text that a group's copies were made from meets more of them than any copy does; a copy that
     # has all of its hashes meets as many, but has edits of its own, which are less usual)
-    ranked = met.join(profile.select("node", "n", F.struct("usual", "node").alias("usual")), "node").select("node", "n", F.struct("score", "usual").alias("rank"), "keys", "large")
+    ranked = met.join(sorted_join(profile.select("node", "n", F.struct("usual", "node").alias("usual"))), "node").select("node", "n", F.struct("score", "usual").alias("rank"), "keys", "large")
     hubs = ranked.select(F.explode("keys").alias("key"), "node", "n", "rank").groupBy("key").agg(F.max(F.struct("rank", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
     full = ranked.select(F.explode("keys").alias("key"), "node", "n")
-    stars = full.join(hubs, "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    stars = full.join(sorted_join(hubs), "key").where(F.col("node") != F.col("a")).where(may_link("n", "na", s.percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     stars = materialise(stars, "minhash_stars")
     links = materialise(confirm(stars, sets, s.percent), "minhash_links")
     known = components(links).withColumnRenamed("node", "_node")
 
     # second step: buckets in which classes other than the hub, which has met them all, are of different components
-    labelled = ranked.where(F.size("large") > 0).join(known, F.col("node") == F.col("_node"), "left").select("node", "rank", F.coalesce("root", "node").alias("root"), "large")
+    labelled = ranked.where(F.size("large") > 0).join(sorted_join(known), F.col("node") == F.col("_node"), "left").select("node", "rank", F.coalesce("root", "node").alias("root"), "large")
     labelled = materialise(labelled, "minhash_labelled")
     spelled = labelled.select(F.explode("large").alias("key"), "node", "rank", "root")
     roots = spelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"), F.max("rank").alias("rank")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("rank", "k")).alias("hub"))
     mixed = roots.where(F.col("roots") - F.when(F.col("hub.k") == 1, 1).otherwise(0) > 1).select("key")
-    mixed = spelled.select("key", "node", "root").join(mixed, "key", "left_semi").select("node", "root").distinct()
-    members = materialise(mixed.join(profile, "node"), "minhash_members")
-    more = filtered_pairs(members, s.percent).join(stars, ["a", "b"], "left_anti")
+    mixed = spelled.select("key", "node", "root").join(sorted_join(mixed), "key", "left_semi").select("node", "root").distinct()
+    members = materialise(mixed.join(sorted_join(profile), "node"), "minhash_members")
+    more = filtered_pairs(members, s.percent).join(sorted_join(stars), ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, s.percent), "minhash_more")
     if not more.isEmpty():
         known = components(links.unionByName(more)).withColumnRenamed("node", "_node")
     for done in (met, sets, profile, stars, labelled, members):
         discard(done)
 
-    roots = classes.join(known, F.col("node") == F.col("_node"), "left").select("digest", "doc", F.coalesce("root", "node").alias("root"))
+    roots = classes.join(sorted_join(known), F.col("node") == F.col("_node"), "left").select("digest", "doc", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc").alias("least")).withColumnRenamed("root", "_root")
-    ids = roots.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "least")
-    out = rows.select("doc_id", "n_shingles", "digest").join(ids, F.col("digest") == F.col("_digest"), "left")
+    ids = roots.join(sorted_join(least), F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "least")
+    out = rows.select("doc_id", "n_shingles", "digest").join(sorted_join(ids), F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -308,5 +308,5 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 def deduplicated(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates; every text without words stays."""
     kept = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.join(sorted_join(kept), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])

@@ -319,6 +319,22 @@ def test_minhash_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_minhash_broadcasts_no_table(spark, monkeypatch):
+    """Spark sizes lists and what is exploded from them too low to tell which tables fit a driver."""
+    plans, write = [], minhash.materialise
+
+    def seen(df, *a, **k):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, *a, **k)
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:i] + ["edit"] + base[i + 1 :]) for i in range(0, 400, 80)] + ["another text of some words here"] * 2 + ["alone in this table as it is"]
+    out = minhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert out.count() == 3 and sum("Join" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
