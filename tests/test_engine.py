@@ -3,10 +3,12 @@
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tesserae import EngineError, Session
 from tesserae.functions.text import stem
+from tesserae.operators import search
 from tesserae.plans.normalize import dnf
 from tesserae.plans.parser import parse, parse_expression
 from tesserae.queries import ORACLE_SQL, QUERIES
@@ -143,6 +145,26 @@ def test_full_text_queries_return_every_hit(spark, tmp_path):
     assert QUERIES["fts_prefix_near"](spark, str(tmp_path)).count() == n
 
 
+def test_a_text_index_is_sorted_in_runs_and_not_by_a_task(spark, monkeypatch):
+    """Rows of a run are in order of tokens and keys, whatever its bounds are; no task sorts all of its rows, which spills."""
+    texts = [(i, None if i % 7 == 3 else "b%d a, B%d c%d a" % (i % 5, i % 5, i)) for i in range(40)] + [(40, "a " * 300), (41, "")]
+    docs = spark.createDataFrame(texts, "key long, text string").coalesce(1)
+    found = []
+    for rows, size in ((1024, 2 << 20), (4, 1 << 20), (1024, 100)):
+        monkeypatch.setattr(search, "RUN_ROWS", rows)
+        monkeypatch.setattr(search, "RUN_BYTES", size)
+        made = search.arranged(search.postings(docs, ("Simple",), [("Lowercase",)]), "fts", {})
+        assert "Sort" not in made._jdf.queryExecution().sparkPlan().toString()
+        found.append(sorted(map(tuple, made.collect()), key=str))
+    assert found[0] == found[1] == found[2] and sum(r[0] is None for r in found[0]) == 36
+    hit = next(r for r in found[0] if r[:2] == ("b2", 2))
+    assert hit[2:] == (2, [0, 2], [0, 6], [2, 8], 5)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(40)), "text": ["x" * i for i in range(40)]})
+    monkeypatch.setattr(search, "RUN_BYTES", 30)
+    runs = list(search.in_runs(batch))
+    assert pa.Table.from_batches(runs).to_pydict() == batch.to_pydict() and all(r.num_rows == 1 or sum(map(len, r.column("text").to_pylist())) <= 30 for r in runs)
+
+
 def test_shared_folder_must_be_named_off_one_machine():
     from tesserae import storage
 
