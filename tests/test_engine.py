@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -160,11 +161,47 @@ def test_a_text_index_is_sorted_in_runs_and_not_by_a_task(spark, monkeypatch):
     hit = next(r for r in found[0] if r[:2] == ("b2", 2))
     assert hit[2:] == (2, [0, 2], [0, 6], [2, 8], 5)
     batch = pa.RecordBatch.from_pydict({"key": list(range(40)), "text": ["x" * i for i in range(40)]})
-    monkeypatch.setattr(search, "RUN_BYTES", 30)
-    runs = list(search.in_runs(batch))
+    runs = list(search.in_runs(batch, 1024, 30))
     assert pa.Table.from_batches(runs).to_pydict() == batch.to_pydict() and all(r.num_rows == 1 or sum(map(len, r.column("text").to_pylist())) <= 30 for r in runs)
 
 
+@pytest.mark.parametrize("kind", search.DISTANCES)
+def test_nearest_vectors_in_small_pieces(spark, monkeypatch, kind):
+    """A task that holds few distances at once finds what all pairs give, ties and distances that are no numbers too."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (300, 3)).astype(float)
+    x[:298:3] = 0
+    base = spark.createDataFrame([(i, None if i % 11 == 5 else v.tolist()) for i, v in enumerate(x)], "key long, vector array<double>").repartition(3)
+    asked = [0, 1, 2, 4, 7]
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in asked], "qid long, vector array<double>")
+    d = search.distances(x[asked], x, kind)
+    for k in (3, 250):
+        want = [(q, *e) for row, q in zip(d, asked, strict=True) for e in sorted(((i, v) for i, v in enumerate(row.tolist()) if i % 11 != 5), key=lambda e: (math.isnan(e[1]), e[1] if e[1] == e[1] else 0, e[0]))[:k]]
+        for most in (1, 40, 1 << 20):
+            monkeypatch.setattr(search, "CELLS", most)
+            got = search.nearest(queries, base, k, kind).collect()
+            assert sorted((r["qid"], r["key"], repr(r["distance"])) for r in got) == sorted((q, i, repr(v)) for q, i, v in want)
+
+
+def test_bands_of_a_whole_batch_are_those_of_each_text(spark, monkeypatch):
+    """Equal sets of grams share all bands, whatever texts stand beside them; a text or list without any has none."""
+    texts = ["a b c d e f", "A b, c d e f", "a b", "a  B", "a b c", "", None, " . ", "x " * 50, "x x x x x", "c d e f a b", "a b c d e f a b c d e"]
+    one = [spark.createDataFrame([(i, t)], "key long, value string") for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, value string").coalesce(1)
+    bands = lambda df, g: sorted(map(tuple, search.band_hashes(df, 32, 8, 4, g, ("Simple",), [("Lowercase",)]).collect()))
+    got = bands(rows, 3)
+    apart = one[0]
+    for o in one[1:]:
+        apart = apart.unionAll(o)
+    monkeypatch.setattr(search, "RUN_ROWS", 1)
+    assert got == bands(apart, 3) and {k for k, _ in got} == {0, 1, 2, 3, 4, 8, 9, 10, 11} and len(got) == 9 * 8
+    of = lambda k: {b for i, b in got if i == k}
+    assert of(0) == of(1) and of(2) == of(3) and of(8) == of(9) and not of(2) & of(4) and not of(0) & of(2)
+    lists = spark.createDataFrame([(0, [1, 2, 3]), (1, [3, 2, 1]), (2, []), (3, None), (4, [1, 2, 4])], "key long, value array<long>")
+    found = {k: {b for i, b in bands(lists, 1) if i == k} for k in range(5)}
+    assert found[0] == found[1] and len(found[0]) == 8 and not found[2] and not found[3] and found[4] != found[0]
+
+
 def test_shared_folder_must_be_named_off_one_machine():
     from tesserae import storage
 
