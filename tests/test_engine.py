@@ -9,7 +9,7 @@ import pytest
 
 from tesserae import EngineError, Session
 from tesserae.functions.text import stem
-from tesserae.operators import search
+from tesserae.operators import graph, search
 from tesserae.plans.normalize import dnf
 from tesserae.plans.parser import parse, parse_expression
 from tesserae.queries import ORACLE_SQL, QUERIES
@@ -314,3 +314,24 @@ def test_timestamps_do_not_depend_on_the_zone_of_the_session(db, spark):
             assert db.evaluate("format_timestamp(-1, 'America/New_York')") == "1969-12-31T18:59:59-05:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("sizes", [(8_000_000, 4_000_000, 1 << 20), (40, 50, 7), (3, 4_000_000, 1)])
+def test_triangles_in_tasks_of_bounded_size(spark, monkeypatch, sizes):
+    """Hubs, loops, parallel edges and nulls, in one task and in tasks for colours and parts; pairs of edges are joined by no plan."""
+    for name, value in zip(("CLOSING_EDGES", "PAIRED_EDGES", "PAIRS"), sizes, strict=True):
+        monkeypatch.setattr(graph, name, value)
+    rng = np.random.default_rng(2)
+    edges = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 40, (220, 2))] + [("hub", f"n{i}") for i in range(40)] + [("hub", f"leaf{i}") for i in range(60)] + [("hub", "hub"), (None, "hub"), ("x", "y"), ("y", "x")]
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {v: (sum(b in near[a] for a in s for b in s) // 2, len(s)) for v, s in near.items()}
+    out = graph.clustering(spark.createDataFrame(edges, "a string, b string"))
+    got = out.collect()
+    assert {r["node"]: (r["n_triangles"], r["degree"]) for r in got} == want and len(got) == len(want)
+    assert all(r["cc"] == (2 * t / (k * (k - 1)) if k > 1 else 0) for r in got for t, k in [want[r["node"]]])
+    assert graph.clustering(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().sparkPlan().toString()
