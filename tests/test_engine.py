@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tesserae import EngineError, Session
+from tesserae import EngineError, Session, storage
 from tesserae.functions.text import stem
 from tesserae.operators import graph, search
 from tesserae.plans.normalize import dnf
@@ -335,3 +335,14 @@ def test_triangles_in_tasks_of_bounded_size(spark, monkeypatch, sizes):
     assert all(r["cc"] == (2 * t / (k * (k - 1)) if k > 1 else 0) for r in got for t, k in [want[r["node"]]])
     assert graph.clustering(spark.createDataFrame([], "a long, b long")).count() == 0
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_distinct_rows_of_a_large_table_are_in_more_parts(spark, monkeypatch, tmp_path):
+    spark.range(3000).selectExpr("id % 50 AS l_suppkey", "id % 7 AS l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = QUERIES["graph_degree"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" not in want._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(storage, "DISTINCT_BYTES", 100)
+    got = QUERIES["graph_degree"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("FileScan parquet") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(want.collect()) == 50
