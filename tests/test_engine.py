@@ -5,7 +5,9 @@ import math
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae import EngineError, Session, storage
 from tesserae.functions.text import stem
@@ -165,6 +167,23 @@ def test_a_text_index_is_sorted_in_runs_and_not_by_a_task(spark, monkeypatch):
     assert pa.Table.from_batches(runs).to_pydict() == batch.to_pydict() and all(r.num_rows == 1 or sum(map(len, r.column("text").to_pylist())) <= 30 for r in runs)
 
 
+@pytest.mark.parametrize("made", ["postings", "bands"])
+def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path, made):
+    """One task reads a row group, however many parts its file is cut into; what is made of its texts is made in all tasks."""
+    n = 4000
+    pq.write_table(pa.table({"key": range(n), "text": [f"a b c d e f g h w{i}" for i in range(n)]}), tmp_path / "one.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert docs.rdd.getNumPartitions() > 4
+        out = search.postings(docs, ("Simple",), []) if made == "postings" else search.band_hashes(docs.withColumnRenamed("text", "value"), 8, 2, 4, 1, ("Simple",), [])
+        parts = [r["n"] for r in out.select("key", F.spark_partition_id().alias("p")).distinct().groupBy("p").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(parts) == 4 and sum(parts) == n and max(parts) < n / 2
+
+
 @pytest.mark.parametrize("kind", search.DISTANCES)
 def test_nearest_vectors_in_small_pieces(spark, monkeypatch, kind):
     """A task that holds few distances at once finds what all pairs give, ties and distances that are no numbers too."""
