@@ -167,6 +167,18 @@ def test_a_text_index_is_sorted_in_runs_and_not_by_a_task(spark, monkeypatch):
     assert pa.Table.from_batches(runs).to_pydict() == batch.to_pydict() and all(r.num_rows == 1 or sum(map(len, r.column("text").to_pylist())) <= 30 for r in runs)
 
 
+def test_places_of_a_posting_are_one_list_and_its_order_is_stable(spark):
+    """A text index stores positions, starts and ends as one list, and gives them back apart; none for a text without words."""
+    docs = spark.createDataFrame([(1, "é b é"), (2, "b"), (3, ""), (4, None)], "key long, text string")
+    stored = search.stored_postings(docs, ("Simple",), [])
+    assert [f.name for f in stored.schema.fields if f.dataType.typeName() == "array"] == ["places"]
+    got = {r[:2]: r[2:] for r in map(tuple, search.postings(docs, ("Simple",), []).collect())}
+    assert got == {("é", 1): (2, [0, 2], [0, 4], [1, 5], 3), ("b", 1): (1, [1], [2], [3], 3), ("b", 2): (1, [0], [0], [1], 1), (None, 1): (0, [], [], [], 3), (None, 2): (0, [], [], [], 1), (None, 3): (0, [], [], [], 0)}
+    for most in (1, 300, 1 << 16, 1 << 20):
+        x = np.random.default_rng(0).integers(0, most, 100_000)
+        assert (search.stable_order(x) == np.argsort(x, kind="stable")).all()
+
+
 @pytest.mark.parametrize("made", ["postings", "bands"])
 def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path, made):
     """One task reads a row group, however many parts its file is cut into; what is made of its texts is made in all tasks."""
